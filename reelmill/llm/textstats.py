@@ -14,8 +14,7 @@ a delimiter; where lines are filled up it is a space.
 Scale. Row by row without a shuffle, in Arrow batches over whole texts. The common words are a fixed vocabulary, read
 on the driver and broadcast; more than MAX_COMMON are refused.
 
-Edge cases: a null, empty or blank text has no words, null means and a prose share of 0; it is no prose, but nothing of
-it is non-prose either, so it isn't found. Equal ids are judged row by row.
+Edge cases: a null, empty or blank text has no words, null means and a null prose share, so it isn't found. Equal ids are judged row by row.
 """
 
 from __future__ import annotations
@@ -50,7 +49,8 @@ PHRASE_WORDS = frozenset(
     """.split()
 )
 
-_WORD = re.compile(r"([^\W\d_]+)")
+#: Letters only: what counts as a word character but is a number (fractions, superscripts, circled digits) is none.
+_WORD = re.compile("([^\\W\\d_²³¹¼-¾⁰-₟⅐-↋①-⓿]+)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _HARD = re.compile(r"[;|\t·•▪◦‣→]|\s[-–—/+*&]\s|<[^<>]*>|[:=]\s|\s{3,}|[.?!…]+(?=[\s\"'»”)]|$)|\)\s*$")
 _LIST_MARK = re.compile(r"^\s*(?:[-–—*•▪◦»>|]|\(?\w{1,3}[.):]|\d+\s*[-:.)])\s+")
@@ -136,7 +136,7 @@ COLUMNS = "n_words bigint, mean_word_length double, symbol_ratio double, punctua
 def statistics(text: str | None, common: dict[str, int]) -> tuple:
     """One document's values of COLUMNS."""
     if text is None or not text.strip():
-        return (0, None, None, None, None, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return (0, None, None, None, None, 0.0, 0.0, 0.0, 0.0, None)
     lines = [x for x in text.split("\n") if x.strip()]
     if len(lines) < 3 and "<t" in text:
         lines = [x for x in re.split(r"<tr[^>]*>", text) if x.strip()]
@@ -177,5 +177,5 @@ def text_statistics(documents: DataFrame, words: DataFrame, doc_id: str = "doc_i
 
 def mostly_no_prose(documents: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id)`` of the texts of which more than half is no natural prose."""
-    stats = text_statistics(documents.where(f"length(trim(`{text}`)) > 0"), words, doc_id, text)
+    stats = text_statistics(documents, words, doc_id, text)
     return stats.where("prose_share < 0.5").select("doc_id")
