@@ -100,11 +100,11 @@ def top_n_per_group(part):
     return R.top_per(part, ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], 10).select("p_brand", "p_partkey", big("rn").alias("rank"))
 
 
-@query("customer", "orders", sql="SELECT c_custkey, n IS NOT NULL AS has_match, round(c_acctbal - avg_total, 6) AS gap, CASE WHEN n > 0 THEN round(c_acctbal / n, 4) END AS ratio FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS avg_total FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("customer", "orders", sql="SELECT c_custkey, n IS NOT NULL AS has_match, round(c_acctbal - avg_total, 6) AS gap, CASE WHEN n > 0 THEN round(c_acctbal / n, 8) END AS ratio FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS avg_total FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def left_enrich(customer, orders):
     totals = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("avg_total"))
     j = customer.join(totals, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.select("c_custkey", F.col("n").isNotNull().alias("has_match"), money(F.col("c_acctbal") - F.col("avg_total"), 6).alias("gap"), F.when(F.col("n") > 0, money(F.col("c_acctbal") / F.col("n"), 4)).alias("ratio"))
+    return j.select("c_custkey", F.col("n").isNotNull().alias("has_match"), money(F.col("c_acctbal") - F.col("avg_total"), 6).alias("gap"), F.when(F.col("n") > 0, money(F.col("c_acctbal") / F.col("n"), 8)).alias("ratio"))
 
 
 @query("lineitem", "part", "supplier", sql="SELECT p_brand, count(*) AS n_lines, round(avg(l_discount), 4) AS avg_discount, round(avg(l_quantity), 4) AS avg_quantity, count(*) FILTER (WHERE s_acctbal > 0) AS n_solvent FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
