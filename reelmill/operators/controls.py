@@ -1,8 +1,8 @@
 """Data-quality controls over a dict of tables: audit, journalled cleaning, verdicts, constraints.
 
 A row-local control is a predicate on one row; a relational one gives its own anomalies. All row-local controls of a
-table are evaluated in one scan: populations and anomalies as counts of predicates in one aggregation, the evidence as
-one ``inline`` of the failing controls' structs. A predicate that is null is no anomaly; a check that is null passes.
+table are evaluated in one scan: populations and anomalies as counts of predicates in one aggregation, the evidence as one
+array of the failing controls. Counts are one row per control and are gathered from concurrent jobs. A predicate that is null is no anomaly; a check that is null passes.
 
 Cleaning is a fold over rows: fixes of a table are applied in order within one projection, each seeing what the ones
 before it left, and every change is appended to a journal array that travels with the row and is cut off at the end.
@@ -11,6 +11,7 @@ before it left, and every change is appended to a journal array that travels wit
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,18 @@ from pyspark.sql import functions as F
 
 Tables = dict[str, DataFrame]
 
+#: Scans at work at a time: counts of small tables fill the executors that a large one leaves idle.
+SCANS = 8
+
+
+def _gathered(parts: Sequence[DataFrame], schema: str) -> DataFrame:
+    """The rows of all parts, a few per control, taken by concurrent jobs: one plan of them all would be planned as a whole."""
+    spark = parts[0].sparkSession
+    with ThreadPoolExecutor(SCANS) as pool:
+        rows = [tuple(r) for part in pool.map(lambda df: df.collect(), parts) for r in part]
+    return spark.createDataFrame(rows, schema)
+
+
 # Weights of severities.
 SEVERITY_WEIGHT = {"critical": 4, "major": 3, "minor": 2, "info": 1}
 
@@ -53,24 +66,24 @@ def _local(controls: Iterable[Control]) -> dict[str, list[tuple[Control, Branch]
 
 def results(tables: Tables, controls: Sequence[Control]) -> DataFrame:
     """``(control_id, checked_rows, anomaly_rows, anomaly_rate, passed)`` of every control; tables that are absent have no rows."""
-    parts = None
+    parts = []
     for table, held in _local(controls).items():
         if table not in tables:
             continue
         counts = [F.expr(f"count_if(coalesce({b.population}, false))").alias(f"p{i}") for i, (_, b) in enumerate(held)]
         counts += [F.expr(f"count_if(coalesce(({b.population}) and ({b.anomaly}), false))").alias(f"a{i}") for i, (_, b) in enumerate(held)]
         rows = F.array(*[F.struct(F.lit(c.control_id).alias("control_id"), F.col(f"p{i}").alias("checked"), F.col(f"a{i}").alias("found")) for i, (c, _) in enumerate(held)])
-        one = tables[table].agg(*counts).select(F.inline(rows))
-        parts = one if parts is None else parts.unionByName(one)
+        parts.append(tables[table].agg(*counts).select(F.inline(rows)))
+    none = F.lit(0).cast("bigint")
     for c in controls:
         if c.relational is not None:
-            population, anomalies = c.relational(tables)
-            one = population.select(F.lit(c.control_id).alias("control_id"), F.col("population").cast("bigint").alias("checked"), F.lit(0).cast("bigint").alias("found"))
-            one = one.unionByName(anomalies.agg(F.count(F.lit(1)).alias("found")).select(F.lit(c.control_id).alias("control_id"), F.lit(0).cast("bigint").alias("checked"), "found"))
-            parts = one if parts is None else parts.unionByName(one)
+            population, found = c.relational(tables)
+            parts.append(population.select(F.lit(c.control_id).alias("control_id"), F.col("population").cast("bigint").alias("checked"), none.alias("found")))
+            parts.append(found.agg(F.count(F.lit(1)).alias("found")).select(F.lit(c.control_id).alias("control_id"), none.alias("checked"), "found"))
+    measured = _gathered(parts, "control_id string, checked bigint, found bigint")
     spark = next(iter(tables.values())).sparkSession
     limits = spark.createDataFrame([(c.control_id, float(c.threshold)) for c in controls], "control_id string, threshold double")
-    sums = parts.groupBy("control_id").agg(F.sum("checked").alias("checked_rows"), F.sum("found").alias("anomaly_rows"))
+    sums = measured.groupBy("control_id").agg(F.sum("checked").alias("checked_rows"), F.sum("found").alias("anomaly_rows"))
     out = F.broadcast(limits).join(sums, "control_id", "left").na.fill(0, ["checked_rows", "anomaly_rows"])
     rate = F.try_divide(F.col("anomaly_rows"), F.col("checked_rows"))
     return out.select("control_id", "checked_rows", "anomaly_rows", F.round(rate, 6).alias("anomaly_rate"), (rate <= F.col("threshold")).alias("passed"))
@@ -185,12 +198,8 @@ class Constraint:
 
 def violations(tables: Tables, constraints: Sequence[Constraint]) -> DataFrame:
     """``(name, kind, table_name, violations)`` of every constraint; row-local ones of a table share one scan."""
-    parts = None
-
-    def add(df: DataFrame) -> None:
-        nonlocal parts
-        parts = df if parts is None else parts.unionByName(df)
-
+    parts: list[DataFrame] = []
+    add = parts.append
     local: dict[str, list[tuple[Constraint, Column]]] = {}
     for c in constraints:
         if c.kind == "not null":
@@ -218,4 +227,4 @@ def violations(tables: Tables, constraints: Sequence[Constraint]) -> DataFrame:
             parent = tables[c.parent].select(F.col(c.parent_key).alias("__p")).distinct()
             orphans = df.where(F.col(c.columns[0]).isNotNull()).join(parent, F.col(c.columns[0]) == F.col("__p"), "left_anti")
             add(orphans.agg(F.count(F.lit(1)).alias("violations")).select(*label, "violations"))
-    return parts
+    return _gathered(parts, "name string, kind string, table_name string, violations bigint")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmill import schemas
-from reelmill.operators.controls import JOURNAL, Branch, Constraint, Control, Fix, Tables, close_journal, fix, removed
+from reelmill.operators.controls import JOURNAL, SCANS, Branch, Constraint, Control, Fix, Tables, close_journal, fix, removed
 from reelmill.operators.relational import first_per, missing_any, repeats_per
 from reelmill.plans.mart import LINKS, REFERENCES
 from reelmill.session import scratch_table
@@ -255,7 +256,8 @@ def clean(mart: Tables, as_of: date, staged: Tables | None = None) -> tuple[Tabl
     """The cleaned copy and the journal of every change.
 
     Stale links go before repeated credits, so that of a repeat the live credit stays; orphans go last. Each table is
-    written to the shared folder after its row fixes and after its removals, which other tables' steps read.
+    written to the shared folder after its row fixes and after its removals, which other tables' steps read; tables
+    that don't read each other go at the same time.
     """
     first, later, gone = _row_fixes(as_of)
     out: Tables = {}
@@ -266,17 +268,22 @@ def clean(mart: Tables, as_of: date, staged: Tables | None = None) -> tuple[Tabl
         out[name], entries = close_journal(kept, name, KEYS[name])
         journal.append(entries)
 
-    for name in schemas.MART:
-        if name == "movies":
-            continue
+    def fix_rows(name: str) -> None:
         df = fix(mart[name], first[name])
         if name in gone:
             control, when = gone[name]
-            bad = F.coalesce(F.expr(when), F.lit(False))
-            kept = scratch_table(df.withColumn("__bad", bad), f"codes-{name}")
+            kept = scratch_table(df.withColumn("__bad", F.coalesce(F.expr(when), F.lit(False))), f"codes-{name}")
             journal.append(removed(kept.where("__bad").drop("__bad", "__journal"), control, name, KEYS[name]))
-            df = kept.where("not __bad").drop("__bad")
-        settle(name, df)
+            out[name], entries = close_journal(kept.where("not __bad").drop("__bad"), name, KEYS[name])
+            journal.append(entries)
+        else:
+            settle(name, df)
+
+    def at_once(step, names) -> None:
+        with ThreadPoolExecutor(SCANS) as pool:
+            list(pool.map(step, names))
+
+    at_once(fix_rows, [name for name in schemas.MART if name != "movies"])
     films = fix(mart["movies"], first["movies"])
     # a key held by several films stays with the one of most votes
     owner = first_per(films.where("imdb_id is not null").select("imdb_id", "id", "vote_count"), ["imdb_id"], [F.coalesce("vote_count", F.lit(0)).desc(), F.col("id").desc()])
@@ -292,7 +299,7 @@ def clean(mart: Tables, as_of: date, staged: Tables | None = None) -> tuple[Tabl
         journal.append(removed(bad, control, name, KEYS[name]))
         out[name] = scratch_table(out[name].join(bad.select(*keys), keys, "left_anti").select(mart[name].columns), f"kept-{name}")
 
-    for name in LINKS:
+    def clean_links(name: str) -> None:
         if staged is not None:
             tables = {name: out[name], "staged:movies": staged["movies"], f"staged:{name}": staged[name]}
             take(name, _stale_links(tables, name)[1], "COH-09")
@@ -301,11 +308,16 @@ def clean(mart: Tables, as_of: date, staged: Tables | None = None) -> tuple[Tabl
         if name == "movie_crew":
             take(name, repeats_per(out[name], CREW_GROUP, [F.col("credit_id")]), "UNI-05")
         take(name, missing_any(out[name], [(c, out[p], k) for c, p, k in parents(name)]), "INT-01")
-    for name, key, users in REFERENCES:
+
+    def drop_unused(reference) -> None:
+        name, key, users = reference
         bad = out[name]
         for user, column in users:
             bad = bad.join(out[user].select(F.col(column).alias("__u")).distinct(), F.col(key) == F.col("__u"), "left_anti")
         take(name, bad, "INT-04" if name == "people" else "INT-03")
+
+    at_once(clean_links, LINKS)
+    at_once(drop_unused, REFERENCES)
     spark = mart["movies"].sparkSession
     entries = spark.createDataFrame([], JOURNAL)
     for j in journal:
