@@ -33,7 +33,7 @@ MIN_RUN = 18
 SEED = 5
 #: A run of this many words in two items or more is shared wording.
 SHARED_RUN = 9
-MIN_AGREE = 0.83
+MIN_AGREE = 0.86
 #: An agreeing word scores 1, each word of a gap costs this; a span ends where its score was highest.
 GAP_COST = 2
 MAX_DROP = 6

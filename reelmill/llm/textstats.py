@@ -36,7 +36,7 @@ LEAST_LETTERS = 0.6
 OPEN_ENDS = 0.12
 #: Words of a piece that is a sentence by its length alone.
 SENTENCE = 10
-#: Commas a piece without joining words may have; with more it is a list of phrases.
+#: Commas and semicolons a piece without joining words may have; with more it is a list of phrases.
 COMMAS = 3
 
 # Articles, prepositions and the like, which phrases without a sentence also hold.
@@ -52,10 +52,11 @@ PHRASE_WORDS = frozenset(
 #: Letters only: what counts as a word character but is a number (fractions, superscripts, circled digits) is none.
 _WORD = re.compile("([^\\W\\d_²³¹¼-¾⁰-₟⅐-↋①-⓿]+)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
-_HARD = re.compile(r"[;|\t·•▪◦‣→]|\s[-–—/+*&]\s|<[^<>]*>|[:=]\s|\s{3,}|[.?!…]+(?=[\s\"'»”)]|$)|\)\s*$")
+_HARD = re.compile(r"[|\t·•▪◦‣→]|^[\"']?[;,][\"']?$|\s[-–—/+*&]\s|<[^<>]*>|[:=]\s|\s{3,}|[.?!…]+(?=[\s\"'»”)]|$)|\)\s*$")
 _LIST_MARK = re.compile(r"^\s*(?:[-–—*•▪◦»>|]|\(?\w{1,3}[.):]|\d+\s*[-:.)])\s+")
 _END = re.compile(r"[.?!…:;][\"'»”)\]]*\s*$")
 _LAST_WORD = re.compile(r"([^\W\d_]+)\W*$")
+_HEADED = re.compile(r"\W*[A-ZÀ-ÖØ-Þ]\w*[a-zß-öø-ÿ]")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _COLUMN = re.compile(r"[|;\t]|,(?=\S)| {2,}|<t[dh]")
 
@@ -124,7 +125,7 @@ def prose_words(text: str, common: dict[str, int], wrapped: bool) -> tuple[float
     cut = np.fromiter((bool(_HARD.search(g)) or (not wrapped and "\n" in g) for g in gaps), bool, n)
     piece = np.concatenate([[0], np.cumsum(cut)[:-1]])
     size = np.bincount(piece)
-    commas = np.bincount(piece, weights=np.fromiter(("," in g for g in gaps), bool, n))
+    commas = np.bincount(piece, weights=np.fromiter(("," in g or ";" in g for g in gaps), bool, n))
     rich = (np.bincount(piece, weights=shared) >= LEAST_COMMON * size) & (commas <= COMMAS)
     prose |= fresh & ((size >= SENTENCE) & rich)[piece] & (around(letters) >= LEAST_LETTERS * around(span))
     return float(span[prose].sum()), total, n, int(letters.sum()), int(shared.sum())
@@ -142,9 +143,10 @@ def statistics(text: str | None, common: dict[str, int]) -> tuple:
         lines = [x for x in re.split(r"<tr[^>]*>", text) if x.strip()]
     aligned, periodic, auto, fill = layout(lines)
     marked = sum(1 for x in lines if _LIST_MARK.match(x)) / len(lines)
-    # a line of wrapped prose is filled up, or ends where no phrase does
+    # a line of wrapped prose is filled up and begins anywhere, or ends where no phrase does
     open_ends = sum(1 for x in lines[:-1] if (w := _LAST_WORD.search(x)) and w[1].lower() in PHRASE_WORDS) / max(1, len(lines) - 1)
-    wrapped = len(lines) >= 2 and (open_ends >= OPEN_ENDS or len(lines) >= 3 and fill >= 0.75) and aligned < 0.5 and marked < 0.5
+    headed = sum(1 for x in lines if _HEADED.match(x)) / len(lines)
+    wrapped = len(lines) >= 2 and (open_ends >= OPEN_ENDS or len(lines) >= 3 and fill >= 0.75 and headed < 0.7) and aligned < 0.5 and marked < 0.5
     prose, total, n, letters, shared = prose_words(text, common, wrapped)
     symbols = len(_SYMBOL.findall(text))
     ended = sum(1 for x in lines if _END.search(x)) / len(lines)
