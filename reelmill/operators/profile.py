@@ -1,19 +1,20 @@
 """Column profiles per load, from mergeable counts, and tests on them.
 
-Checks are declared (:class:`Check`) and compiled into one scan: each row becomes an array of items (column, kind,
-item), an ``inline`` and a partial aggregation turn them into counts per load. These counts are the state: states of
-parts of the data (files, partitions, days) are merged by adding them up (:func:`merge_states`), so a profile is kept
-up to date without reading old data again. All tests read the state only.
+The state of a load is how often each column holds each value; states of parts of the data (files, partitions, days)
+are merged by adding them up (:func:`merge_states`), so a profile is kept up to date without reading old data again.
+Checks are declared (:class:`Check`). All of them share the one scan and aggregation that make the state, and are
+functions of the distinct values it holds: a form or a logarithm is taken once per value, not once per row.
 
-Kinds of items of a column:
+Kinds of items that :func:`expand` derives from a state:
   ``rows``     all rows, ``filled`` the rows that aren't null, ``negative`` the numbers below 0
   ``value``    one per value, ``form`` one per form of a text (see :func:`form`)
   ``size``     one per bucket of the logarithm of a number's size, 0 and what isn't finite left out. A bucket is
                SIZE_STEP wide, so medians are right to half of it (0.05 %); they need no sorted column.
 
-Scale. One shuffle of counts that are pre-aggregated in the scan; a value held by a third of all rows is one count per
-task. Loads, columns and kinds make a few thousand totals, which are broadcast behind a check of their number. Shares
-are compared only for items that reach the limit in some load; per load, column and kind at most 1/limit items do.
+Scale. Each row gives one item per column; these are counted in the scan before they are shuffled, so a value held by
+a third of all rows is one count per task. Loads, columns and kinds make a few thousand totals, which are broadcast
+behind a check of their number. Shares are compared only for items that reach the limit in some load; per load, column
+and kind at most 1/limit items do.
 
 Edge cases: a column that is null throughout a load has no values, forms or sizes there, and its shares count as 0; a
 null load is left out; NaN is a value, but has no sign or size; an empty table has no state and fails no test.
@@ -61,31 +62,17 @@ def _is_number(kind: T.DataType) -> bool:
 
 
 def state(df: DataFrame, load: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """``(load, column_name, kind, item, n)``: the mergeable state of all checks, from one scan."""
+    """``(load, column_name, type, item, n)``: the mergeable state, from one scan; ``type`` is number, text or other."""
     names = [c for c in (columns if columns is not None else df.columns) if c != load]
 
-    def items(name: str) -> list[Column]:
+    def cell(name: str) -> Column:
         c, kind = F.col(f"`{name}`"), df.schema[name].dataType
         text = c.cast("string") if isinstance(kind, (T.AtomicType, T.NullType)) else F.to_json(c)
+        what = "number" if _is_number(kind) else "text" if isinstance(kind, T.StringType) else "other"
+        return F.struct(F.lit(name).alias("column_name"), F.lit(what).alias("type"), text.alias("item"))
 
-        def item(what: str, value: Column, when: Column) -> Column:
-            return F.when(when, F.struct(F.lit(name).alias("column_name"), F.lit(what).alias("kind"), value.alias("item")))
-
-        nothing, held = F.lit(None).cast("string"), c.isNotNull()
-        found = [item("rows", nothing, F.lit(True)), item("filled", nothing, held), item("value", text, held)]
-        if isinstance(kind, T.StringType):
-            found.append(item("form", form(c), held))
-        if _is_number(kind):
-            x = c.cast("double")
-            finite = held & ~F.isnan(x) & (F.abs(x) < math.inf)
-            found.append(item("negative", nothing, finite & (x < 0)))
-            bucket = F.floor(F.log(F.when(x != 0, F.abs(x))) / SIZE_STEP).cast("string")
-            found.append(item("size", bucket, finite & (x != 0)))
-        return found
-
-    every = F.filter(F.array(*[i for name in names for i in items(name)]), lambda x: x.isNotNull())
-    rows = df.select(F.col(f"`{load}`").alias("load"), every.alias("items")).where("load is not null")
-    return rows.select("load", F.inline("items")).groupBy("load", "column_name", "kind", "item").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(F.col(f"`{load}`").alias("load"), F.array(*[cell(c) for c in names]).alias("cells")).where("load is not null")
+    return rows.select("load", F.inline("cells")).groupBy("load", "column_name", "type", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_states(*states: DataFrame) -> DataFrame:
@@ -93,7 +80,30 @@ def merge_states(*states: DataFrame) -> DataFrame:
     merged = states[0]
     for s in states[1:]:
         merged = merged.unionByName(s)
-    return merged.groupBy("load", "column_name", "kind", "item").agg(F.sum("n").alias("n"))
+    return merged.groupBy("load", "column_name", "type", "item").agg(F.sum("n").alias("n"))
+
+
+def expand(held: DataFrame) -> DataFrame:
+    """``(load, column_name, kind, item, n)``: the items of all kinds, from a state's distinct values."""
+    filled, is_number = F.col("item").isNotNull(), F.col("type") == "number"
+    x = F.when(is_number, F.expr("try_cast(item as double)"))
+    finite = F.coalesce(~F.isnan(x) & (F.abs(x) < math.inf), F.lit(False))
+    bucket = F.floor(F.log(F.when(x != 0, F.abs(x))) / SIZE_STEP).cast("string")
+    nothing = F.lit(None).cast("string")
+
+    def item(kind: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), value.alias("item")))
+
+    derived = F.array(
+        item("rows", nothing, F.lit(True)),
+        item("filled", nothing, filled),
+        item("form", form(F.col("item")), filled & (F.col("type") == "text")),
+        item("negative", nothing, finite & (x < 0)),
+        item("size", bucket, finite & (x != 0)),
+    )
+    counted = held.select("load", "column_name", "n", F.inline(F.array_compact(derived))).groupBy("load", "column_name", "kind", "item").agg(F.sum("n").alias("n"))
+    values = held.where("item is not null").select("load", "column_name", F.lit("value").alias("kind"), "item", "n")
+    return counted.unionByName(values)
 
 
 def _totals(held: DataFrame) -> DataFrame:
@@ -116,7 +126,7 @@ def _ordered(totals: DataFrame) -> DataFrame:
 def drift(held: DataFrame, checks: Iterable[Check] = DRIFT) -> DataFrame:
     """``(load, column_name, kind, item, moved)``: what departs from the load before, by which measure.
 
-    ``held`` is a state; it should be materialised (see :func:`departures`), as every test reads it.
+    ``held`` is an expanded state; it should be materialised (see :func:`departures`), as every test reads it.
     """
     checks = {c.kind: c.limit for c in checks}
     totals = _totals(held)
@@ -150,12 +160,12 @@ def drift(held: DataFrame, checks: Iterable[Check] = DRIFT) -> DataFrame:
 
 
 def departures(df: DataFrame, load: str, ignore: Iterable[str] = (), checks: Iterable[Check] = DRIFT) -> DataFrame:
-    """:func:`drift` of a table; the state is written to the shared folder once and read by every test."""
+    """:func:`drift` of a table; the expanded state is written to the shared folder once and read by every test."""
     from reelmill.session import scratch_table
 
     left_out = set(ignore)
     held = scratch_table(state(df, load, [c for c in df.columns if c not in left_out]), "profile")
-    return drift(held, checks)
+    return drift(scratch_table(expand(held), "items"), checks)
 
 
 def profile(df: DataFrame, load: str, ignore: Iterable[str] = ()) -> DataFrame:
@@ -165,7 +175,7 @@ def profile(df: DataFrame, load: str, ignore: Iterable[str] = ()) -> DataFrame:
     """
     left_out = set(ignore)
     names = [c for c in df.columns if c not in left_out]
-    held = state(df, load, names)
+    held = expand(state(df, load, names))
     numeric = [c for c in names if c != load and _is_number(df.schema[c].dataType)]
     is_number = F.col("column_name").isin(numeric) if numeric else F.lit(False)
     value = F.col("kind") == "value"
@@ -186,7 +196,7 @@ def profile(df: DataFrame, load: str, ignore: Iterable[str] = ()) -> DataFrame:
 
 
 def control_limits(held: DataFrame, width: float = 3.0, least_history: int = 3) -> DataFrame:
-    """``(load, column_name, metric, value, centre, spread)``: metrics outside centre +/- width * spread of all earlier loads.
+    """``(load, column_name, metric, value, centre, spread)`` of an expanded state: metrics outside centre +/- width * spread of all earlier loads.
 
     Metrics are the shares of nulls and of negatives and the logarithm of the median size. A spread below 0.01 counts
     as 0.01, so that a metric that never moved isn't flagged for noise.

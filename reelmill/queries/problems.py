@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.values import STAND_INS, is_filled_amount, is_filled_text
 from reelmill.operators import nested, profile, redelivery, rejects, snapshots, survivor, unpack
+from reelmill.session import scratch_table
 
 RELATIONS = [
     nested.Relation("genre", "payload.genres", "id", ("id", "name")),
@@ -75,7 +76,8 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_control_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics outside the control limits of the loads before; no SQL, as medians come from buckets."""
     df = table(spark, sf_dir, "avant_apres")
-    out = profile.control_limits(profile.state(df, "ingest_date", [c for c in df.columns if c != "run_id"]))
+    items = scratch_table(profile.expand(profile.state(df, "ingest_date", [c for c in df.columns if c != "run_id"])), "items")
+    out = profile.control_limits(items)
     return out.withColumn("load", F.date_format("load", "yyyy-MM-dd")).withColumnRenamed("load", "ingest_date")
 
 
