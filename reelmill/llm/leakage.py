@@ -231,6 +231,13 @@ _BUILT: dict = {}
 _NUMBERS = (f"{uuid.uuid4().hex}-{k}" for k in itertools.count())
 
 
+def _automata(number: str, blocks) -> list[Automaton]:
+    """The automata of a broadcast, built once per Python worker."""
+    if _BUILT.get("of") != number:
+        _BUILT.update(of=number, automata=[Automaton(b) for b in blocks.value])
+    return _BUILT["automata"]
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, n_words, n_agree, first_word, past_word)``: every span of a document that leaks an item."""
     held = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").collect()
@@ -239,9 +246,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     number = next(_NUMBERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if _BUILT.get("of") != number:  # once per Python worker
-            _BUILT.update(of=number, automata=[Automaton(b) for b in shared.value])
-        automata = _BUILT["automata"]
+        automata = _automata(number, shared)
         for batch in batches:
             rows = []
             for doc, t in zip(batch["doc_id"], batch["text"]):

@@ -7,9 +7,9 @@ left of its part is filled by sampling documents without replacement after Efrai
 are taken as long as their tokens fit. A source too small for its part is used ``max_repeats`` times and reported.
 
 Scale. Documents are tokenised in Arrow batches where they are read; what is kept is 40 bytes a document. The prefix
-sum over a source, which may hold a third of all documents, is taken in two levels: keys are cut into buckets of about
-ROWS_PER_BUCKET documents (by the keys' own distribution, so buckets are even), the buckets' sums are accumulated, and
-only the bucket in which the budget ends is summed row by row. Targets are a list of sources of a stated size.
+sum over a source, which may hold a third of all documents, is taken by narrowing: an interval of keys is cut into parts
+whose sums are accumulated, the part in which the budget ends is cut again, and what is left, at most ROWS_PER_BUCKET
+documents, is summed row by row. Targets are a list of sources of a stated size.
 
 Edge cases: a source without documents can't fill a share above 0; documents without a source, or of one without a
 target, count for the budget and aren't used; null and empty texts have 0 tokens and are taken with any epoch; equal
@@ -20,6 +20,7 @@ source are added up, with the larger number of repeats.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +32,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how texts are cut before byte pairs are merged, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Documents that are summed one by one where a source's budget ends, parts a round cuts an interval of keys into, rounds.
 ROWS_PER_BUCKET = 50_000
+BUCKETS = 1000
+MAX_ROUNDS = 20
 MAX_TARGETS = 100_000
 #: Texts are encoded in pieces of about this many characters, cut at white space, so that a long one needs no more memory.
 PIECE = 200_000
@@ -86,30 +90,57 @@ def sized(documents: DataFrame, doc_id: str = "doc_id", source: str = "source",
 
 
 def plan(held: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(source, target_share, max_repeats, n_docs, tokens, mean_weight, budget, epochs, rest, short)`` of each target.
+    """``(source, target_share, max_repeats, n_docs, tokens, budget, epochs, rest, short)`` of each target.
 
     ``held`` is a result of :func:`sized`, read twice here; it should be materialised. ``rest`` is what sampling must fill after complete epochs.
     """
     targets = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
-    per_source = held.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.avg("weight").alias("mean_weight"))
+    per_source = held.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
     total = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     grid = targets.join(per_source, "source", "left")
     budget = F.col("target_share") * F.lit(float(total))
     tokens = F.coalesce("tokens", F.lit(0))
     epochs = F.when(tokens > 0, F.least(F.col("max_repeats").cast("bigint"), F.floor(budget / tokens))).otherwise(F.lit(0)).cast("bigint")
     return grid.select(
-        "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), tokens.alias("tokens"), "mean_weight", budget.alias("budget"), epochs.alias("epochs"),
+        "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), tokens.alias("tokens"), budget.alias("budget"), epochs.alias("epochs"),
         F.when(epochs < F.col("max_repeats"), budget - epochs * tokens).otherwise(F.lit(0.0)).alias("rest"),
         (tokens * F.col("max_repeats") < budget).alias("short"),
     )
 
 
 def sample_key(doc_id: Column, weight: Column, seed: int) -> Column:
-    """-ln(u) / weight with u in (0, 1) from a hash of the document's number."""
+    """-ln(u) / weight with u in (0, 1) from a hash of the document's number; a weight that is missing or not above 0 counts as 1e-6."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11).cast("double") + 0.5) / 2.0**53
-    return -F.log(u) / weight
+    return -F.log(u) / F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(1e-6))
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """``(source, lo, hi, before)``: where each source's budget ends.
+
+    Keys below ``lo`` fit, keys above ``hi`` don't, ``before`` tokens lie below ``lo``; between them are at most
+    ROWS_PER_BUCKET documents (or one key). Each round cuts the interval of every source that holds more into BUCKETS
+    equal parts and goes on with the part in which the budget ends; what comes to the driver is one row per source.
+    """
+    spark = rows.sparkSession
+    schema = "source string, lo double, hi double, before double"
+    start = rows.groupBy("source").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.lit(0.0).alias("before"), F.count(F.lit(1)).alias("n"))
+    at = {r["source"]: (r["lo"], r["hi"], r["before"], r["n"]) for r in start.collect()}
+    for _ in range(MAX_ROUNDS):
+        wide = {s: x for s, x in at.items() if x[3] > ROWS_PER_BUCKET and x[1] > x[0]}
+        if not wide:
+            break
+        interval = F.broadcast(spark.createDataFrame([(s, *x[:3]) for s, x in wide.items()], schema))
+        inside = rows.join(interval, "source").where(F.col("key").between(F.col("lo"), F.col("hi")))
+        part = F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        sums = inside.groupBy("source", "rest", "before", part.alias("part")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("part")))
+        ends = sums.where("upto > rest").groupBy("source").agg(F.min(F.struct("part", "lo", "hi", (F.col("upto") - F.col("tokens")).alias("b"), "n")).alias("e"))
+        found = {r["source"]: (r["e"]["lo"], r["e"]["hi"], r["e"]["b"], r["e"]["n"]) for r in ends.collect()}
+        for s in wide:
+            at[s] = found.get(s, (math.inf, math.inf, 0.0, 0))  # all of it fits
+    return spark.createDataFrame([(s, *x[:3]) for s, x in at.items()], schema)
 
 
 def mix(held: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
@@ -117,25 +148,15 @@ def mix(held: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
 
     ``held`` and ``planned`` are read several times and should be materialised.
     """
-    p = F.broadcast(planned.select("source", "epochs", "rest", "mean_weight", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_BUCKET)).alias("buckets")))
+    p = F.broadcast(planned.select("source", "epochs", "rest"))
     rows = held.where("source is not null").join(p, "source")
-    key = sample_key(F.col("doc_id"), F.col("weight"), seed)
-    rows = rows.withColumn("key", key)
-    even = F.least(F.floor((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * F.col("buckets")), F.col("buckets") - 1)
-    rows = rows.withColumn("bucket", even.cast("bigint")).select("doc_id", "source", "tokens", "epochs", "rest", "key", "bucket")
-    sums = rows.groupBy("source", "bucket", "rest").agg(F.sum("tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
-    sums = sums.withColumn("upto", upto)
-    # the buckets that fit as a whole, and of each source the first that doesn't
-    last = sums.where("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("edge"))
-    rows = rows.join(F.broadcast(last.select("source", "edge.bucket", "edge.before").withColumnRenamed("bucket", "edge")), "source", "left")
-    inside = rows.where("edge is null or bucket < edge").select("doc_id", "source", "tokens", "epochs", F.lit(1).alias("extra"))
-    beyond = rows.where("bucket > edge").select("doc_id", "source", "tokens", "epochs", F.lit(0).alias("extra"))
+    rows = rows.select("doc_id", "source", "tokens", "epochs", "rest", sample_key(F.col("doc_id"), F.col("weight"), seed).alias("key"))
+    rows = rows.join(F.broadcast(_edges(rows)), "source")
     line = Window.partitionBy("source").orderBy("key", "doc_id")  # a range frame: equal numbers count together
-    edge = rows.where("bucket = edge").withColumn("run", F.col("before") + F.sum("tokens").over(line))
+    edge = rows.where("key between lo and hi").withColumn("run", F.col("before") + F.sum("tokens").over(line))
     edge = edge.select("doc_id", "source", "tokens", "epochs", (F.col("run") <= F.col("rest")).cast("int").alias("extra"))
-    used = inside.unionByName(edge).unionByName(beyond)
-    return used.select("doc_id", "source", "tokens", (F.col("epochs") + F.col("extra")).cast("bigint").alias("repeats")).where("repeats > 0")
+    clear = rows.where("not key between lo and hi").select("doc_id", "source", "tokens", "epochs", (F.col("key") < F.col("lo")).cast("int").alias("extra"))
+    return clear.unionByName(edge).select("doc_id", "source", "tokens", (F.col("epochs") + F.col("extra")).cast("bigint").alias("repeats")).where("repeats > 0")
 
 
 def shares(planned: DataFrame, mixed: DataFrame) -> DataFrame:

@@ -103,6 +103,7 @@ def held(spark, sizes):
 
 def test_mix_reaches_shares(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 20)
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
     rnd = random.Random(1)
     sizes = [(rnd.choice(["a", "a", "a", "b", None, "other"]), rnd.randrange(0, 50)) for _ in range(1500)] + [("small", 40)] * 3
     df = held(spark, sizes)
@@ -134,6 +135,7 @@ def test_sample_is_the_sorted_prefix(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(mixing, "BUCKETS", 3)
     df = held(spark, [("a", 3 + i % 5) for i in range(300)])
     planned = mixing.plan(df, spark.createDataFrame([("a", 0.4, 1)], TARGETS))
     rest = planned.first()["rest"]
