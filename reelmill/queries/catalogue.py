@@ -189,3 +189,49 @@ SQL = {
     "metric_increase": "WITH s AS (SELECT event_type AS type, ts, max(value) AS value FROM events WHERE event_id IS NOT NULL AND ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY 1, 2), d AS (SELECT type, value, value - lag(value) OVER (PARTITION BY type ORDER BY ts) AS step FROM s) SELECT type, round(coalesce(sum(CASE WHEN step < 0 THEN value ELSE step END), 0), 2) AS increase, round(coalesce(sum(CASE WHEN step < 0 THEN value ELSE step END), 0) / 604800, 6) AS rate FROM d GROUP BY 1",
     "stream_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }
+
+# The mart's tables in SQL, from the last usable state of each film.
+_LISTS = {
+    "genres": ("payload.genres", "e.id", "nullif(trim(e.name), '')"),
+    "production_companies": ("payload.production_companies", "e.id", "nullif(trim(e.name), '')"),
+    "production_countries": ("payload.production_countries", "nullif(substr(upper(trim(e.iso_3166_1)), 1, 2), '')", "true"),
+    "spoken_languages": ("payload.spoken_languages", "nullif(lower(substr(trim(e.iso_639_1), 1, 2)), '')", "true"),
+}
+_BASE = _LATEST + """,
+one AS (SELECT payload, row_number() OVER (PARTITION BY payload.id ORDER BY seen DESC) AS k FROM films),
+m AS (SELECT payload.id AS id, payload, try_cast(nullif(trim(payload.release_date), '') AS DATE) AS released,
+  CASE WHEN payload.vote_count > 0 THEN CAST(payload.vote_average AS DECIMAL(4,2)) END AS rating,
+  CASE WHEN payload.budget >= 1000 THEN payload.budget END AS budget, CASE WHEN payload.revenue >= 1000 THEN payload.revenue END AS revenue FROM one WHERE k = 1)"""
+for _name, (_path, _key, _label) in _LISTS.items():
+    _BASE += f", l_{_name} AS (SELECT DISTINCT id AS movie_id, {_key} AS k FROM (SELECT id, unnest({_path}) AS e FROM m) WHERE {_key} IS NOT NULL)"
+    _BASE += f", r_{_name} AS (SELECT {_key} AS k, max({_label}) AS label FROM (SELECT unnest({_path}) AS e FROM m) WHERE {_key} IS NOT NULL AND {_label} IS NOT NULL GROUP BY 1)"
+for _role, _group in (("cast", "character"), ("crew", "job")):
+    _order = 'e."order" ASC NULLS LAST, e.credit_id' if _role == "cast" else "e.credit_id"
+    _BASE += f""", c_{_role} AS (SELECT id AS movie_id, e FROM (SELECT id, unnest(payload.credits."{_role}") AS e FROM m) WHERE nullif(trim(e.credit_id), '') IS NOT NULL AND e.id IS NOT NULL)
+, k_{_role} AS (SELECT DISTINCT trim(credit) AS credit_id, person_id, movie_id FROM (SELECT movie_id, e.credit_id AS credit, e.id AS person_id, row_number() OVER (PARTITION BY movie_id, e.id, nullif(trim(e.{_group}), '') ORDER BY {_order}) AS rn FROM c_{_role}) WHERE rn = 1)"""
+_BASE += """, p AS (SELECT id, name FROM (SELECT e.id AS id, nullif(trim(e.name), '') AS name FROM (SELECT unnest(payload.credits."cast") AS e FROM m) UNION ALL SELECT e.id, nullif(trim(e.name), '') FROM (SELECT unnest(payload.credits.crew) AS e FROM m)) WHERE id IS NOT NULL AND name IS NOT NULL)"""
+
+_COUNTS = {
+    "genres": "SELECT count(*) FROM r_genres",
+    "collections": "SELECT count(DISTINCT payload.belongs_to_collection.id) FROM m WHERE nullif(trim(payload.belongs_to_collection.name), '') IS NOT NULL",
+    "production_companies": "SELECT count(*) FROM r_production_companies",
+    "countries": "SELECT count(DISTINCT k) FROM l_production_countries",
+    "languages": "SELECT count(DISTINCT k) FROM l_spoken_languages",
+    "people": "SELECT count(DISTINCT id) FROM p",
+    "movies": "SELECT count(*) FROM m",
+    "movie_genres": "SELECT count(*) FROM l_genres",
+    "movie_production_companies": "SELECT count(*) FROM l_production_companies",
+    "movie_production_countries": "SELECT count(*) FROM l_production_countries",
+    "movie_spoken_languages": "SELECT count(*) FROM l_spoken_languages",
+    "movie_cast": "SELECT count(DISTINCT credit_id) FROM k_cast",
+    "movie_crew": "SELECT count(DISTINCT credit_id) FROM k_crew",
+    "movies_with_imdb": "SELECT 0",
+}
+_CARDINALITY = {"movie_genres": "l_genres", "movie_production_companies": "l_production_companies", "movie_production_countries": "l_production_countries", "movie_spoken_languages": "l_spoken_languages", "movie_cast": "k_cast", "movie_crew": "k_crew"}
+
+SQL |= {
+    "mart_counts": _BASE + " " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, ({q}) AS n_rows" for t, q in _COUNTS.items()),
+    "mart_yearly": _BASE + " SELECT CAST(year(released) AS INTEGER) AS year, count(*) AS movies, round(CAST(avg(rating) AS DOUBLE), 2) AS avg_rating, CAST(NULL AS DOUBLE) AS avg_imdb, CAST(sum(budget) AS BIGINT) AS budget, CAST(sum(revenue) AS BIGINT) AS revenue FROM m WHERE released IS NOT NULL GROUP BY 1",
+    "mart_genre_stats": _BASE + " SELECT label AS genre, count(*) AS movies, round(CAST(avg(rating) AS DOUBLE), 2) AS avg_rating, CAST(NULL AS DOUBLE) AS avg_imdb, CAST(NULL AS DOUBLE) AS avg_gap, 0 AS matched FROM l_genres JOIN m ON movie_id = id JOIN r_genres USING (k) GROUP BY 1",
+    "mart_cardinalities": _BASE + " " + " UNION ALL ".join(f"SELECT '{t}' AS relation, min(n) AS least, round(avg(n), 2) AS mean, max(n) AS most FROM (SELECT id, count(movie_id) AS n FROM m LEFT JOIN {v} ON id = movie_id GROUP BY 1)" for t, v in _CARDINALITY.items()),
+}
