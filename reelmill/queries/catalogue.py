@@ -232,6 +232,6 @@ _CARDINALITY = {"movie_genres": "l_genres", "movie_production_companies": "l_pro
 SQL |= {
     "mart_counts": _BASE + " " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, ({q}) AS n_rows" for t, q in _COUNTS.items()),
     "mart_yearly": _BASE + " SELECT CAST(year(released) AS INTEGER) AS year, count(*) AS movies, round(CAST(avg(rating) AS DOUBLE), 2) AS avg_rating, CAST(NULL AS DOUBLE) AS avg_imdb, CAST(sum(budget) AS BIGINT) AS budget, CAST(sum(revenue) AS BIGINT) AS revenue FROM m WHERE released IS NOT NULL GROUP BY 1",
-    "mart_genre_stats": _BASE + " SELECT label AS genre, count(*) AS movies, round(CAST(avg(rating) AS DOUBLE), 2) AS avg_rating, CAST(NULL AS DOUBLE) AS avg_imdb, CAST(NULL AS DOUBLE) AS avg_gap, 0 AS matched FROM l_genres JOIN m ON movie_id = id JOIN r_genres USING (k) GROUP BY 1",
+    "mart_genre_stats": _BASE + " SELECT label AS genre, count(*) AS movies, round(CAST(avg(rating) AS DOUBLE), 2) AS avg_rating, CAST(NULL AS DOUBLE) AS avg_imdb, CAST(NULL AS DOUBLE) AS avg_gap, CAST(0 AS BIGINT) AS matched FROM l_genres JOIN m ON movie_id = id JOIN r_genres USING (k) GROUP BY 1",
     "mart_cardinalities": _BASE + " " + " UNION ALL ".join(f"SELECT '{t}' AS relation, min(n) AS least, round(avg(n), 2) AS mean, max(n) AS most FROM (SELECT id, count(movie_id) AS n FROM m LEFT JOIN {v} ON id = movie_id GROUP BY 1)" for t, v in _CARDINALITY.items()),
 }
