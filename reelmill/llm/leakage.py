@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.llm.words import words
+from reelmill.session import spread
 
 MIN_RUN = 18
 SEED = 5
@@ -258,7 +259,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "n_agree", "first_word", "past_word"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, f"doc_id {kind}, item_id bigint, n_words int, n_agree int, first_word int, past_word int")
+    return spread(documents.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")).mapInPandas(run, f"doc_id {kind}, item_id bigint, n_words int, n_agree int, first_word int, past_word int")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: how texts are cut before byte pairs are merged, as published with the vocabulary.
@@ -86,7 +88,7 @@ def sized(documents: DataFrame, doc_id: str = "doc_id", source: str = "source",
             yield batch.drop(columns="text").assign(tokens=count_tokens(list(batch["text"]), tokenizer))
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), (quality(F.col(f"`{text}`")) if weight is None else weight).cast("double").alias("weight"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, source string, weight double, tokens bigint")
+    return spread(rows).mapInPandas(run, "doc_id bigint, source string, weight double, tokens bigint")
 
 
 def plan(held: DataFrame, targets: DataFrame) -> DataFrame:

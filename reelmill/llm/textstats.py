@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from reelmill.session import spread
+
 MAX_COMMON = 100_000
 
 #: Words to either side that are judged together.
@@ -174,7 +176,7 @@ def text_statistics(documents: DataFrame, words: DataFrame, doc_id: str = "doc_i
             yield out
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, f"doc_id {kind}, {COLUMNS}")
+    return spread(documents.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")).mapInPandas(run, f"doc_id {kind}, {COLUMNS}")
 
 
 def mostly_no_prose(documents: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
