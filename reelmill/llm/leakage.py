@@ -2,11 +2,11 @@
 
 The automaton holds every run of words of every item. A document's words are streamed through it; its state says at
 each word how many of the last words stand in some item. Where such a match ends and has at least SEED words, it is
-extended in both directions along the item, over words that were altered, dropped or put in, as long as two words
-running agree again, to where the span scores best. A span is a leak of the item if it covers at least MIN_RUN of the
-item's words, wording that several items share not counted, and at least MIN_AGREE of the words it covers agree. What
-lies beyond the limits is given as spans of words to remove, and as the share of the document they cover
-(:func:`coverage`).
+extended in both directions along the item, over words that were altered, dropped or put in, to where two words running
+agree again or else a single one does; agreeing words within such a gap count. It ends where it scores best. Any part of
+it is a leak of the item that covers at least MIN_RUN of the item's words, wording that several items share not counted,
+and of which at least MIN_AGREE of the item's words agree; parts that overlap are one span. What is
+found is given as spans of words to remove, and as the share of the document they cover (:func:`coverage`).
 
 Scale. Documents are streamed in Arrow batches without a shuffle, whole texts, a word at a time; time is linear in the
 corpus. What is broadcast is the items' words, test material of a stated size: more than MAX_BLOCK words are split into
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -179,39 +180,85 @@ class Automaton:
                 if any(a <= past - 1 < b and x <= end < y for a, b, x, y in seen):
                     continue
                 # from the middle of the match: its last word is document past - 1, item end
-                right, item_right, agree_right = self._extend(ids, past, end + 1, len(ids), limit, 1)
-                left, item_left, agree_left = self._extend(ids, past - n - 1, end - n, -1, first - 1, -1)
-                a, b, x, y = left + 1, right, item_left + 1, item_right
-                seen.append((a, b, x, y))
-                count = self.counted[y] - self.counted[x]
-                agree = n + agree_right + agree_left
-                if count >= MIN_RUN and agree >= MIN_AGREE * (y - x):
-                    found.append((self.owner[end], count, agree, a, b))
+                right, best_right = self._extend(ids, past, end + 1, len(ids), limit, 1)
+                left, best_left = self._extend(ids, past - n - 1, end - n, -1, first - 1, -1)
+                middle = list(zip(range(past - n, past), range(end - n + 1, end + 1)))
+                pairs = left[:best_left][::-1] + middle + right[:best_right]
+                seen.append((pairs[0][0], pairs[-1][0] + 1, pairs[0][1], pairs[-1][1] + 1))
+                parts = self._parts(pairs)
+                for i, j in parts:
+                    (a, x), (b, y) = pairs[i], pairs[j]
+                    found.append((self.owner[end], self.counted[y + 1] - self.counted[x], j - i + 1, a, b + 1))
         return found
 
-    def _extend(self, ids: list[int], d: int, k: int, d_stop: int, k_stop: int, way: int) -> tuple[int, int, int]:
-        """Walk on from document position d and item position k; returns where agreement ended, and how many words agreed."""
-        text, agreed, score = self.text, 0, 0
-        best = (0, d, k, 0)
+    def _parts(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The parts (first and last pair) of agreeing words that are leaks; parts that overlap are joined."""
+        counted = self.counted
+        if counted[pairs[-1][1] + 1] - counted[pairs[0][1]] < MIN_RUN:
+            return []
+        # i to j agree enough if lack[i] <= have[j]; the first such i covers the most words
+        lack, least = [], float("inf")
+        for i, (_, k) in enumerate(pairs):
+            least = min(least, i - MIN_AGREE * k)
+            lack.append(-least)
+        out: list[tuple[int, int]] = []
+        for j, (_, k) in enumerate(pairs):
+            i = bisect_left(lack, MIN_AGREE * (k + 1) - (j + 1) - 1e-6)
+            if i <= j and counted[k + 1] - counted[pairs[i][1]] >= MIN_RUN:
+                while out and i <= out[-1][1]:
+                    i = min(i, out.pop()[0])
+                out.append((i, j))
+        return out
+
+    def _extend(self, ids: list[int], d: int, k: int, d_stop: int, k_stop: int, way: int) -> tuple[list[tuple[int, int]], int]:
+        """Walk on from document position d and item position k; returns the pairs of positions that agree, and how many to the best score."""
+        text, score = self.text, 0
+        pairs: list[tuple[int, int]] = []
+        best = (0, 0)
         while d != d_stop and k != k_stop:
             if ids[d] == text[k]:
-                d, k, agreed, score = d + way, k + way, agreed + 1, score + 1
+                pairs.append((d, k))
+                d, k, score = d + way, k + way, score + 1
                 if score >= best[0]:
-                    best = (score, d, k, agreed)
+                    best = (score, len(pairs))
                 continue
+            single = None
             for a, b in _GAPS:
                 kk, dd = k + way * a, d + way * b
                 if (k_stop - kk) * way <= 0 or (d_stop - dd) * way <= 0 or ids[dd] != text[kk]:
                     continue
                 k2, d2 = kk + way, dd + way
                 if k2 == k_stop or d2 == d_stop or ids[d2] == text[k2]:
-                    d, k, score = dd, kk, score - GAP_COST * max(a, b)
                     break
+                if single is None or a == b and single[0] != single[1]:
+                    single = (a, b)
             else:
-                break
+                if single is None:
+                    break
+                a, b = single
+            inside = _agreeing(ids[d : d + way * b : way], text[k : k + way * a : way])
+            pairs += [(d + way * i, k + way * j) for i, j in inside]
+            score += len(inside) - GAP_COST * (max(a, b) - len(inside))
+            d, k = d + way * b, k + way * a
             if score < best[0] - MAX_DROP:
                 break
-        return best[1:]
+        return pairs, best[1]
+
+
+def _agreeing(these: list[int], those: list[int]) -> list[tuple[int, int]]:
+    """The most pairs of positions, rising in both, at which two runs of at most three words agree."""
+    held: list[tuple[int, int]] = []
+    for i, x in enumerate(these):
+        for j, y in enumerate(those):
+            if x == y:
+                chain = [(i, j), *_shift(_agreeing(these[i + 1 :], those[j + 1 :]), i + 1, j + 1)]
+                if len(chain) > len(held):
+                    held = chain
+    return held
+
+
+def _shift(pairs: list[tuple[int, int]], i: int, j: int) -> list[tuple[int, int]]:
+    return [(a + i, b + j) for a, b in pairs]
 
 
 def _blocks(items: list[tuple[int, list[str]]]) -> list[list[tuple[int, list[str]]]]:

@@ -89,6 +89,48 @@ def test_leaks(spark):
     assert cover[6]["n_items"] == 2 and 58 <= cover[6]["leaked_words"] <= 66
 
 
+def p8_items(a, b=()):
+    return leakage.Automaton([(1, list(a)), (2, list(b))])
+
+
+def test_best_part_of_a_span_leaks():
+    a = VOCABULARY[:60]
+    rest = [f"other{i}" if i % 3 == 2 else w for i, w in enumerate(a[30:50])]
+    spans = p8_items(a).spans(["noise"] * 9 + a[10:30] + rest + ["noise"] * 9)
+    assert len(spans) == 1 and spans[0][0] == 1 and spans[0][3] == 9 and spans[0][4] >= 29
+    # the bad half alone is none
+    assert p8_items(a).spans(["noise"] * 9 + rest + ["noise"] * 9) == []
+
+
+@pytest.mark.parametrize("altered", [(7, 9), (9, 11), (5, 7), (10, 12)])
+def test_word_between_altered_words_counts(altered):
+    a = VOCABULARY[:60]
+    doc = [f"other{i}" if i in altered else w for i, w in enumerate(a[10:30])]
+    assert p8_items(a).spans(["noise"] * 9 + doc + ["noise"] * 9) == [(1, 20, 18, 9, 29)]
+
+
+def test_alternating_altered_words():
+    a = VOCABULARY[:60]
+    doc = [f"other{i}" if i in (12, 14, 16) else w for i, w in enumerate(a[10:40])]
+    assert p8_items(a).spans(["noise"] * 9 + doc + ["noise"] * 9) == [(1, 30, 27, 9, 39)]
+
+
+def test_parts_against_brute_force():
+    rnd = random.Random(3)
+    automaton = p8_items(VOCABULARY[:80])
+    for _ in range(300):
+        kept = [k for k in range(70) if rnd.random() < rnd.choice((0.8, 0.9))] or [0]
+        pairs = [(k, k) for k in kept]
+        want = set()
+        for i, x in enumerate(kept):
+            for j in range(i, len(kept)):
+                n = kept[j] - x + 1
+                if n >= leakage.MIN_RUN and j - i + 1 >= leakage.MIN_AGREE * n - 1e-6:
+                    want |= set(range(i, j + 1))
+        got = automaton._parts(pairs)
+        assert {k for i, j in got for k in range(i, j + 1)} == want
+
+
 def test_merge_spans():
     assert leakage.merge_spans([(5, 9), (0, 3), (2, 4), (9, 10)]) == [(0, 4), (5, 10)]
 
