@@ -8,8 +8,8 @@ functions of the distinct values it holds: a form or a logarithm is taken once p
 Kinds of items that :func:`expand` derives from a state:
   ``rows``     all rows, ``filled`` the rows that aren't null, ``negative`` the numbers below 0
   ``value``    one per value, ``form`` one per form of a text (see :func:`form`)
-  ``size``     one per bucket of the logarithm of a number's size, 0 and what isn't finite left out. A bucket is
-               SIZE_STEP wide, so medians are right to half of it (0.05 %); they need no sorted column.
+  ``size``     one per size of a number (its value without sign), 0 and what isn't finite left out. Medians are exact
+               (see :func:`medians`) and need no sorted column.
 
 Scale. Each row gives one item per column; these are counted in the scan before they are shuffled, so a value held by
 a third of all rows is one count per task. Loads, columns and kinds make a few thousand totals, which are broadcast
@@ -30,7 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Width of the buckets of the logarithm of a size by which a median is narrowed down.
 SIZE_STEP = 0.001
+#: Shares and factors that miss a limit by rounding alone reach it.
+ROUNDING = 1e-9
 
 #: Totals (loads x columns x kinds) that are broadcast; beyond it they are joined by a shuffle.
 MAX_TOTALS = 500_000
@@ -88,7 +91,6 @@ def expand(held: DataFrame) -> DataFrame:
     filled, is_number = F.col("item").isNotNull(), F.col("type") == "number"
     x = F.when(is_number, F.expr("try_cast(item as double)"))
     finite = F.coalesce(~F.isnan(x) & (F.abs(x) < math.inf), F.lit(False))
-    bucket = F.floor(F.log(F.when(x != 0, F.abs(x))) / SIZE_STEP).cast("string")
     nothing = F.lit(None).cast("string")
 
     def item(kind: str, value: Column, when: Column) -> Column:
@@ -99,7 +101,7 @@ def expand(held: DataFrame) -> DataFrame:
         item("filled", nothing, filled),
         item("form", form(F.col("item")), filled & (F.col("type") == "text")),
         item("negative", nothing, finite & (x < 0)),
-        item("size", bucket, finite & (x != 0)),
+        item("size", F.abs(x).cast("string"), finite & (x != 0)),
     )
     counted = held.select("load", "column_name", "n", F.inline(F.array_compact(derived))).groupBy("load", "column_name", "kind", "item").agg(F.sum("n").alias("n"))
     values = held.where("item is not null").select("load", "column_name", F.lit("value").alias("kind"), "item", "n")
@@ -111,11 +113,19 @@ def _totals(held: DataFrame) -> DataFrame:
 
 
 def medians(held: DataFrame) -> DataFrame:
-    """``(load, column_name, median)`` of the sizes; a load and column has at most a few ten thousand buckets."""
-    sizes = held.where("kind = 'size'").withColumn("bucket", F.col("item").cast("long"))
+    """``(load, column_name, median)`` of the sizes: the smallest one that at least half of them don't exceed.
+
+    Counts by bucket, a few ten thousand per load and column, tell the bucket the median is in; only that one's distinct
+    sizes are sorted.
+    """
+    sizes = held.where("kind = 'size'").withColumn("x", F.col("item").cast("double")).withColumn("bucket", F.floor(F.log("x") / SIZE_STEP))
     line = Window.partitionBy("load", "column_name")
-    run = sizes.withColumn("upto", F.sum("n").over(line.orderBy("bucket"))).withColumn("total", F.sum("n").over(line))
-    return run.where("2 * upto >= total").groupBy("load", "column_name").agg(F.exp((F.min("bucket") + 0.5) * SIZE_STEP).alias("median"))
+    run = sizes.groupBy("load", "column_name", "bucket").agg(F.sum("n").alias("m"))
+    run = run.withColumn("upto", F.sum("m").over(line.orderBy("bucket"))).withColumn("total", F.sum("m").over(line)).where("2 * upto >= total")
+    middle = run.groupBy("load", "column_name").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("m")).alias("below"), "total")).alias("b")).select("load", "column_name", "b.*")
+    inside = sizes.join(middle, ["load", "column_name", "bucket"])
+    inside = inside.withColumn("upto", F.col("below") + F.sum("n").over(line.orderBy("x")))
+    return inside.where("2 * upto >= total").groupBy("load", "column_name").agg(F.min("x").alias("median"))
 
 
 def _ordered(totals: DataFrame) -> DataFrame:
@@ -145,17 +155,17 @@ def drift(held: DataFrame, checks: Iterable[Check] = DRIFT) -> DataFrame:
     shares = held.where(F.col("kind").isin([k for k in checks if k != "size"])).join(small(grid), ["load", "column_name"])
     of = F.when(F.col("kind") == "filled", F.col("all_rows")).otherwise(F.col("filled_rows"))
     shares = shares.select("column_name", "kind", "item", "at", (F.col("n") / of).alias("share"), limit.alias("limit"))
-    per_item = shares.groupBy("column_name", "kind", "item", "limit").agg(F.max("share").alias("top"), F.map_from_entries(F.collect_list(F.struct("at", "share"))).alias("by_load")).where(F.col("top") >= F.col("limit") - 1e-9)
+    per_item = shares.groupBy("column_name", "kind", "item", "limit").agg(F.max("share").alias("top"), F.map_from_entries(F.collect_list(F.struct("at", "share"))).alias("by_load")).where(F.col("top") >= F.col("limit") - ROUNDING)
     pairs = grid.select("load", "column_name", "at").join(per_item, "column_name")
     move = F.coalesce(F.col("by_load")[F.col("at")], F.lit(0.0)) - F.coalesce(F.col("by_load")[F.col("at") - 1], F.lit(0.0))
-    moved = pairs.where("at > 0").select("load", "column_name", "kind", "item", move.alias("moved"), "limit").where("abs(moved) >= limit - 1e-9").drop("limit")
+    moved = pairs.where("at > 0").select("load", "column_name", "kind", "item", move.alias("moved"), "limit").where(F.abs("moved") >= F.col("limit") - ROUNDING).drop("limit")
     if "size" not in checks:
         return moved
     line = Window.partitionBy("column_name").orderBy("at")
     m = medians(held).join(small(loads), "load")
     m = m.withColumn("was", F.lag("median").over(line)).withColumn("was_at", F.lag("at").over(line)).where("was_at = at - 1")
     factor = F.greatest(F.col("median") / F.col("was"), F.col("was") / F.col("median"))
-    far = m.select("load", "column_name", F.lit("size").alias("kind"), F.lit(None).cast("string").alias("item"), factor.alias("moved")).where(F.col("moved") >= checks["size"] * (1 - SIZE_STEP / 2))
+    far = m.select("load", "column_name", F.lit("size").alias("kind"), F.lit(None).cast("string").alias("item"), factor.alias("moved")).where(F.col("moved") >= checks["size"] * (1 - ROUNDING))
     return moved.unionByName(far)
 
 

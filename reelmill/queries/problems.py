@@ -74,7 +74,7 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_control_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics outside the control limits of the loads before; no SQL, as medians come from buckets."""
+    """Metrics outside the control limits of the loads before; no SQL."""
     df = table(spark, sf_dir, "avant_apres")
     items = scratch_table(profile.expand(profile.state(df, "ingest_date", [c for c in df.columns if c != "run_id"])), "items")
     out = profile.control_limits(items)

@@ -150,6 +150,25 @@ def test_profile_departures(spark):
     assert a == sorted(map(str, profile.state(df, "day").collect()))
 
 
+@pytest.mark.parametrize(("was", "now", "departs"), [(1.0, 3.0, True), (2.0, 6.0, True), (4.0, 12.0, True), (42.0, -14.0, True), (0.1, 0.3, True), (1000.0, 2999.0, False), (1.0, 2.9984, False)])
+def test_factor_of_medians_is_exact(spark, was, now, departs):
+    # half of the numbers lie on either side, so only the middle one moves
+    rows = [(1, x) for x in (was / 100, was, was * 1.0001)] + [(2, x) for x in (now / 100, now, now * 1.0001)]
+    df = spark.createDataFrame([(day, x) for day, x in rows for _ in range(5)], "day int, x double")
+    found = profile.drift(profile.expand(profile.state(df, "day")), (profile.Check("size", 3.0),))
+    assert [r["column_name"] for r in found.collect()] == (["x"] if departs else [])
+
+
+def test_medians_against_sorting(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3), rnd.choice([0.0, float("nan"), None, rnd.randrange(-5, 6) * 1.0, 100 + rnd.random() / 20, rnd.gauss(0, 1e6)])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "day int, x double")
+    got = {r["load"]: r["median"] for r in profile.medians(profile.expand(profile.state(df, "day"))).collect()}
+    for day in range(3):
+        sizes = sorted(abs(x) for d, x in rows if d == day and x and x == x)
+        assert got[day] == sizes[(len(sizes) - 1) // 2]
+
+
 def test_form(spark):
     df = spark.createDataFrame([("VAL-01 über Straße_2x",)], "t string")
     assert df.select(profile.form(F.col("t"))).first()[0] == "A-9 a Aa_9a"
