@@ -11,6 +11,11 @@ fragments. Failing that, if its piece, the text between sentence ends and list o
 sentences are. Where the layout is a table's or list's (aligned delimiters, one short fragment a line), a line end is
 a delimiter; where lines are filled up it is a space.
 
+Lines of one sort that follow each other are a block. Its signals vote whether it is a table or list: aligned delimiters,
+periodic indentation, autocorrelation of line lengths, symbols, list marks and lines without an end speak for it, filled
+up lines, ends of lines within a phrase, ended and long lines against it (:func:`tabular`). In such a block the words
+around a word don't count, as cells and entries may hold joining words too; what is left are pieces as long as sentences.
+
 Scale. Row by row without a shuffle, in Arrow batches over whole texts. The common words are a fixed vocabulary, read
 on the driver and broadcast; more than MAX_COMMON are refused.
 
@@ -38,6 +43,9 @@ LEAST_LETTERS = 0.6
 OPEN_ENDS = 0.12
 #: Words of a piece that is a sentence by its length alone.
 SENTENCE = 10
+#: Lines of a block at least, and votes by which it is a table or list.
+BLOCK = 4
+VOTES = 3
 #: Commas and semicolons a piece without joining words may have; with more it is a list of phrases.
 COMMAS = 3
 
@@ -60,6 +68,10 @@ _END = re.compile(r"[.?!…:;][\"'»”)\]]*\s*$")
 _LAST_WORD = re.compile(r"([^\W\d_]+)\W*$")
 _HEADED = re.compile(r"\W*[A-ZÀ-ÖØ-Þ]\w*[a-zß-öø-ÿ]")
 _SYMBOL = re.compile(r"[^\w\s]|_")
+_CELL_END = re.compile(r"[|;\t\n<>]| {2,}")
+_LINE = re.compile(r"[^\n]*[^\n\s][^\n]*")
+_ROW = re.compile(r"<tr[^>]*>(?:(?!<tr).)+", re.DOTALL)
+_QUOTE_MARK = re.compile(r"^\s*[|>]\s+(?!.*\|)")
 _COLUMN = re.compile(r"[|;\t]|,(?=\S)| {2,}|<t[dh]")
 
 
@@ -90,8 +102,48 @@ def layout(lines: list[str]) -> tuple[float, float, float, float]:
     return aligned, periodic, auto, full / (n - 1)
 
 
-def prose_words(text: str, common: dict[str, int], wrapped: bool) -> tuple[float, int, int, int, int]:
-    """(characters of prose, all characters, words, letters, common words); blanks at the ends don't count."""
+def _votes(lines: list[str]) -> int:
+    """How far the signals of a block speak for a table or list."""
+    bare = [_QUOTE_MARK.sub("", x) for x in lines]
+    margin = min(len(x) - len(x.lstrip()) for x in bare)  # a quoted paragraph may be indented as a whole
+    bare = [x[margin:] for x in bare]
+    n = len(bare)
+    aligned, periodic, auto, fill = layout(bare)
+    marked = sum(1 for x in bare if _LIST_MARK.match(x)) / n
+    untagged = [_TAG.sub(" ", x) for x in bare]
+    ended = sum(1 for x in untagged if _END.search(x)) / n
+    open_ends = sum(1 for x in untagged[:-1] if (w := _LAST_WORD.search(x)) and w[1].lower() in PHRASE_WORDS) / (n - 1)
+    symbols = sum(len(_SYMBOL.findall(x)) for x in bare) / sum(map(len, bare))
+    # words of a cell; a line without delimiters is one
+    n_words = sum(len(_WORD.findall(x)) for x in untagged) / (n + sum(len(_COLUMN.findall(x.strip("| \t"))) for x in bare))
+    votes = 2 * (aligned >= 0.6) + (periodic >= 0.5) + (n >= 6 and abs(auto) >= 0.5) + (symbols >= 0.06) + (marked >= 0.5) + (ended < 0.2)
+    return votes - 2 * (open_ends >= OPEN_ENDS) - 2 * (ended >= 0.5) - 2 * (n_words >= SENTENCE) - (fill >= 0.75 and aligned < 0.6)
+
+
+def tabular(text: str) -> list[tuple[int, int]]:
+    """The character spans of the lines of tables and lists that aren't sentences of their own."""
+    held = list(_LINE.finditer(text))
+    if len(held) < 3 and "<t" in text:
+        held = list(_ROW.finditer(text))
+    out: list[tuple[int, int]] = []
+    block: list[re.Match] = []
+    sort = None
+    for m in (*held, None):
+        now = None if m is None else bool(_LIST_MARK.match(m.group())) or bool(_COLUMN.search(m.group().strip()))
+        if m is None or block and (now != sort or text.count("\n", block[-1].end(), m.start()) > 1):
+            if len(block) >= BLOCK and _votes([x.group() for x in block]) >= VOTES:
+                out += [x.span() for x in block if not (_END.search(x.group()) and len(_WORD.findall(x.group())) >= SENTENCE)]
+            block = []
+        block.append(m)
+        sort = now
+    return out
+
+
+def prose_words(text: str, common: dict[str, int], wrapped: bool, cells: list[tuple[int, int]] = ()) -> tuple[float, int, int, int, int]:
+    """(characters of prose, all characters, words, letters, common words); blanks at the ends don't count.
+
+    ``cells`` are the spans of tables and lists.
+    """
     parts = _WORD.split(text)
     found = parts[1::2]
     n = len(found)
@@ -123,8 +175,16 @@ def prose_words(text: str, common: dict[str, int], wrapped: bool) -> tuple[float
     fresh = 2 * around(again) <= n_around
     usual = fresh & (around(shared) >= LEAST_COMMON * n_around) & (around(letters) >= LEAST_LETTERS * around(span))
     prose = usual & (around(joining) > 0)
+    listed = np.zeros(n, bool)
+    if cells:
+        begin = np.cumsum(span) - letters - np.fromiter(map(len, gaps), np.int64, n)
+        at_cell = np.searchsorted([a for a, _ in cells], begin, "right") - 1
+        listed = (at_cell >= 0) & (begin < np.array([b for _, b in cells])[at_cell])
+        prose &= ~listed
     # pieces between hard delimiters
     cut = np.fromiter((bool(_HARD.search(g)) or (not wrapped and "\n" in g) for g in gaps), bool, n)
+    if cells:
+        cut |= np.fromiter((bool(_CELL_END.search(g)) for g in gaps), bool, n) & (listed | np.append(listed[1:], False))
     piece = np.concatenate([[0], np.cumsum(cut)[:-1]])
     size = np.bincount(piece)
     commas = np.bincount(piece, weights=np.fromiter(("," in g or ";" in g for g in gaps), bool, n))
@@ -149,7 +209,7 @@ def statistics(text: str | None, common: dict[str, int]) -> tuple:
     open_ends = sum(1 for x in lines[:-1] if (w := _LAST_WORD.search(x)) and w[1].lower() in PHRASE_WORDS) / max(1, len(lines) - 1)
     headed = sum(1 for x in lines if _HEADED.match(x)) / len(lines)
     wrapped = len(lines) >= 2 and (open_ends >= OPEN_ENDS or len(lines) >= 3 and fill >= 0.75 and headed < 0.7) and aligned < 0.5 and marked < 0.5
-    prose, total, n, letters, shared = prose_words(text, common, wrapped)
+    prose, total, n, letters, shared = prose_words(text, common, wrapped, tabular(text))
     symbols = len(_SYMBOL.findall(text))
     ended = sum(1 for x in lines if _END.search(x)) / len(lines)
     return (n, letters / n if n else None, symbols / len(text), ended, shared / n if n else None, aligned, periodic, auto, fill, min(1.0, prose / total))

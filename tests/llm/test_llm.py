@@ -247,6 +247,31 @@ def test_no_prose(text):
     assert textstats.statistics(text, COMMON)[-1] < 0.5
 
 
+PAIRS = ["salt and pepper", "hammer and nails", "rope and string", "needle and thread", "bread and butter", "day and night", "horse and cart", "cup and saucer"]
+TABULAR = [
+    "\n".join(f"| {x} | in the {x.split()[0]} | on sale |" for x in PAIRS),  # aligned delimiters
+    "\n".join(f"{x}\tthat {x.split()[2]}\tin the box" for x in PAIRS),
+    "\n".join(f"- the {x}" if i % 2 else f"  - {x} in the {x.split()[0]}" for i, x in enumerate(PAIRS * 2)),  # periodic indentation
+    "<table>" + "".join(f"<tr><td>{x}</td><td>in the {x.split()[0]}</td><td>when on sale</td></tr>" for x in PAIRS) + "</table>",
+    "\n".join(f"{x} | in the {x.split()[0]} | {x} | when on sale | {x} | that box" for x in PAIRS),
+]
+
+
+@pytest.mark.parametrize("text", TABULAR)
+def test_layout_decides_where_cells_hold_joining_words(text):
+    assert textstats.statistics(text, COMMON)[-1] < 0.5
+
+
+def test_prose_beside_and_within_a_layout():
+    sentence = PROSE[0]
+    both = textstats.statistics(sentence * 3 + "\n\n" + TABULAR[0], COMMON)[-1]
+    assert 0.3 < both < 0.7
+    # sentences in entries stay prose, and so does a paragraph that is quoted or indented as a whole
+    assert textstats.statistics("\n".join(f"- {sentence}" for _ in range(5)), COMMON)[-1] > 0.5
+    for mark in ("> ", "| ", "    "):
+        assert textstats.statistics("\n".join(mark + x for x in (PROSE[2] + "\n" + PROSE[2]).split("\n")), COMMON)[-1] > 0.5
+
+
 def test_statistics_table(spark):
     rows = [(1, PROSE[0]), (2, None), (3, "  \n"), (4, NO_PROSE[0]), (4, NO_PROSE[0]), (5, "½ 12 %"), (6, (PROSE[0] + " ") * 2000)]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_words int")
