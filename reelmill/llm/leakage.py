@@ -5,8 +5,9 @@ each word how many of the last words stand in some item. Where such a match ends
 extended in both directions along the item, over words that were altered, dropped or put in, to where two words running
 agree again or else a single one does; agreeing words within such a gap count. It ends where it scores best. Any part of
 it is a leak of the item that covers at least MIN_RUN of the item's words, wording that several items share not counted,
-and of which at least MIN_AGREE of the item's words agree; parts that overlap are one span. What is
-found is given as spans of words to remove, and as the share of the document they cover (:func:`coverage`).
+and of which at least MIN_AGREE of the item's words agree; parts that overlap are one span. If there is none, a
+single agreeing word behind an altered one is taken in at either edge. What is found is given as spans of words to
+remove, and as the share of the document they cover (:func:`coverage`).
 
 Scale. Documents are streamed in Arrow batches without a shuffle, whole texts, a word at a time; time is linear in the
 corpus. What is broadcast is the items' words, test material of a stated size: more than MAX_BLOCK words are split into
@@ -186,6 +187,10 @@ class Automaton:
                 pairs = left[:best_left][::-1] + middle + right[:best_right]
                 seen.append((pairs[0][0], pairs[-1][0] + 1, pairs[0][1], pairs[-1][1] + 1))
                 parts = self._parts(pairs)
+                if not parts:
+                    # a single word behind an altered one, at either edge
+                    pairs = left[: best_left + 1][::-1] + middle + right[: best_right + 1]
+                    parts = self._parts(pairs)
                 for i, j in parts:
                     (a, x), (b, y) = pairs[i], pairs[j]
                     found.append((self.owner[end], self.counted[y + 1] - self.counted[x], j - i + 1, a, b + 1))

@@ -115,6 +115,20 @@ def test_alternating_altered_words():
     assert p8_items(a).spans(["noise"] * 9 + doc + ["noise"] * 9) == [(1, 30, 27, 9, 39)]
 
 
+@pytest.mark.parametrize("size", [18, 19])
+@pytest.mark.parametrize("altered", [(-2,), (1,), (1, -2)])
+def test_altered_word_next_to_the_edge_of_a_passage(size, altered):
+    a = VOCABULARY[:60]
+    doc = a[10 : 10 + size]
+    for i in altered:
+        doc[i] = "other"
+    assert p8_items(a).spans(["noise"] * 9 + doc + ["noise"] * 9) == [(1, size, size - len(altered), 9, 9 + size)]
+    # 17 words are too few
+    doc = a[10:27]
+    doc[-2] = "other"
+    assert p8_items(a).spans(["noise"] * 9 + doc + ["noise"] * 9) == []
+
+
 def test_parts_against_brute_force():
     rnd = random.Random(3)
     automaton = p8_items(VOCABULARY[:80])
