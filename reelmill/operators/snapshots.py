@@ -1,9 +1,10 @@
 """What changed between full snapshots of a table.
 
 A snapshot is reduced to a key-to-hash index: per key 128 bits over the canonical values of all compared columns, in
-which null differs from every value. The index is bucketed by the key's hash (the exchange on the key). Rows of a
-later snapshot probe it: a key not in it was added, one with another hash changed, one never probed was removed; then
-the later index takes the earlier one's place. Old values are fetched only for keys that changed.
+which null differs from every value. A key not in the snapshot before was added, one with another hash changed, one
+not in the snapshot after was removed. :func:`changes` compares all snapshots of a table at once, in a window over each
+key's entries; :class:`SnapshotIndex` probes the last index with each new delivery, which then takes its place. Old
+values are fetched only for keys that changed.
 
 Scale. Only (key, snapshot, hash) is shuffled: to merge repeats within a snapshot, which partial aggregation mostly
 does below the shuffle, and then by key alone.
@@ -103,8 +104,8 @@ def fetch_old_values(df: DataFrame, found: DataFrame, key: str, snapshot: str, c
 class SnapshotIndex:
     """The index of the last snapshot, kept on disk between deliveries and swapped after each one.
 
-    ``deliver`` reads only the new snapshot and the index, both bucketed on the key; the pointer file is replaced last,
-    so a run that fails half-way leaves the former index in force.
+    ``deliver`` reads only the new snapshot and the index, and shuffles both on the key, as their files aren't bucketed;
+    the pointer file is replaced last, so a run that fails half-way leaves the former index in force.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, ignore: Iterable[str] = ()) -> None:
