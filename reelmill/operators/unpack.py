@@ -3,13 +3,15 @@
 Quoted spans, escaped characters and the elements of JSON and brace arrays are atomic. What is left between them are
 runs of atoms with delimiters (``, ; | /`` or a hyphen between blanks), each of which may be a boundary or part of a
 value ("Sword/Sorcery"). Tabs and line breaks are always boundaries. A run is a lattice: an arc joins up to MAX_JOIN
-neighbouring atoms to one value. Value frequencies come from the whole column by expectation-maximisation (forward-
+neighbouring atoms to one value, or more where the value stands whole (quoted, escaped or in an array) in some cell of
+the column. Value frequencies come from the whole column by expectation-maximisation (forward-
 backward over every lattice); a value that is only ever seen as a join loses one observation per round, and each join
 costs prior odds, so joins need support. The Viterbi path through each lattice is the split.
 
 Scale. Equal cells of a film and equal runs are merged first. Frequencies, arcs and runs are tables joined by key:
 nothing is broadcast or collected but two sums, so the vocabulary may be of any size. A run's lattice has at most
-MAX_JOIN arcs per atom and is handled by itself.
+MAX_JOIN arcs per atom, besides the longer values that begin there, and is handled by itself. Longer values meet the
+runs by their first MAX_JOIN atoms.
 
 Edge cases: a null, blank or ``\\N`` cell and empty pieces give nothing; an array that doesn't parse is read as plain
 text between its brackets; an unclosed quote is an ordinary character; equal (id, cell) rows are one cell.
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Atoms that one value may join; a value with more delimiters than that must be quoted or escaped to stay whole.
+#: Atoms that one value may join; with more, it must stand quoted, escaped or in an array somewhere to stay whole.
 MAX_JOIN = 3
 
 #: Prior odds of a join at a delimiter: without it the likelihood would favour whole cells seen twice.
@@ -126,6 +128,27 @@ def _arcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["run", "weight", "n", "i", "j", "value"])
 
 
+def _long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The values of more than MAX_JOIN atoms: their first MAX_JOIN, and how many there are."""
+    for batch in batches:
+        rows = []
+        for value in batch["value"]:
+            ends = [(m.start(), m.end()) for m in _DELIMITER.finditer(value)]
+            if len(ends) >= MAX_JOIN and ends[0][0] > 0 and ends[-1][1] < len(value) and all(a[1] < b[0] for a, b in zip(ends, ends[1:])):
+                rows.append((value[: ends[MAX_JOIN - 1][0]], value, len(ends) + 1))
+        yield pd.DataFrame(rows, columns=["head", "whole", "m"])
+
+
+def _long_arcs(arcs: DataFrame, runs: DataFrame, fixed: DataFrame) -> DataFrame:
+    """The arcs over more than MAX_JOIN atoms whose value stands whole in some cell."""
+    stand = fixed.select("value").union(arcs.where("j = i + 1").select("value")).distinct()  # an atom with a delimiter was escaped
+    known = stand.mapInPandas(_long, "head string, whole string, m int")
+    begun = arcs.where(F.col("j") == F.col("i") + MAX_JOIN).join(known, F.col("value") == F.col("head")).where("i + m <= n")
+    held = begun.select("run", "n", "i", "whole", "m").join(runs, "run")
+    same = F.array_join(F.slice("parts", 2 * F.col("i") + 1, 2 * F.col("m") - 1), "") == F.col("whole")
+    return held.where(same).select("run", "weight", "n", "i", (F.col("i") + F.col("m")).alias("j"), F.col("whole").alias("value"))
+
+
 def _lattice(arcs: list[dict], total: float) -> list[tuple[int, int, str, float]]:
     return sorted((a["i"], a["j"], a["value"], math.log(a["c"] / total) + (a["j"] - a["i"] - 1) * math.log(JOIN_PRIOR) if a["c"] and a["c"] > 0 else -math.inf) for a in arcs)
 
@@ -194,6 +217,7 @@ def unpack(df: DataFrame, owner: str, cell: str, rounds: int = ROUNDS) -> DataFr
     lowered = F.transform("parts", lambda x: F.lower(x))
     runs = segs.where("run is not null").groupBy("run").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.first(lowered).alias("parts"))
     arcs = scratch_table(runs.mapInPandas(_arcs, "run string, weight double, n int, i int, j int, value string"), "arcs")
+    arcs = arcs.unionByName(scratch_table(_long_arcs(arcs, runs, fixed), "long-arcs"))
     sums = arcs.where("j = i + 1").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0] + segs.where("single is not null").count()
     total = max(1.0, float(sums))
     joined = arcs.groupBy("value").agg(F.sum(F.when(F.col("j") == F.col("i") + 1, F.col("weight")).otherwise(F.col("weight") / 2)).alias("c"), F.min(F.col("j") > F.col("i") + 1).alias("join"))

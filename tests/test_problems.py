@@ -246,6 +246,17 @@ def test_unpack_keeps_positions_and_learns_joins(spark):
     assert unpack.unpack(df.where("false"), "id", "g").count() == 0
 
 
+def test_long_value_that_stands_whole_elsewhere_is_joined(spark):
+    long, other = "Swords, Sorcery, Dragons, and More", "A/B/C/D/E"
+    cells = [f'"{long}"; Drama', f"{long}; Drama", f"Comedy; {long.upper()}; Heist", f'["{other}", "Drama"]', f"Heist|{other}|Comedy", "Drama; Comedy; Heist; Western; Drama; Comedy", "Swords, Sorcery, Dragons, Drama", r"Comedy|P\/Q\/R\/S", "P/Q/R/S|Heist"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)] + [(100 + i, x) for i, x in enumerate(["Drama", "Comedy", "Heist", "Western"] * 10)], "id long, g string")
+    got = {}
+    for owner, pos, value in unpack.unpack(df, "id", "g").collect():
+        got.setdefault(owner, {})[pos] = value
+    listed = [[got[i][p] for p in range(1, len(got[i]) + 1)] for i in range(len(cells))]
+    assert listed == [[long, "Drama"], [long, "Drama"], ["Comedy", long.upper(), "Heist"], [other, "Drama"], ["Heist", other, "Comedy"], ["Drama", "Comedy", "Heist", "Western", "Drama", "Comedy"], ["Swords", "Sorcery", "Dragons", "Drama"], ["Comedy", "P/Q/R/S"], ["P/Q/R/S", "Heist"]]
+
+
 def plain_reason(line):
     import re
 
