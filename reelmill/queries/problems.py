@@ -1,12 +1,11 @@
-"""Queries of the data-processing problems 1 to 7, over whole tables with production parameters."""
+"""Queries of the data-processing problems 1 to 4, 6 and 7, over whole tables with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.functions.values import STAND_INS, is_filled_amount, is_filled_text
-from reelmill.operators import nested, profile, redelivery, rejects, snapshots, survivor, unpack
+from reelmill.operators import nested, profile, redelivery, rejects, snapshots, unpack
 from reelmill.session import scratch_table
 
 RELATIONS = [
@@ -81,27 +80,6 @@ def p4_control_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("load", F.date_format("load", "yyyy-MM-dd")).withColumnRenamed("load", "ingest_date")
 
 
-FIELDS = [
-    survivor.Bundle("known_for_department", ("known_for_department",), is_filled_text),
-    survivor.Bundle("popularity", ("popularity",), is_filled_amount),
-    survivor.Bundle("profile_path", ("profile_path",), is_filled_text),
-]
-NAME = survivor.Bundle("name", ("name", "original_name"), is_filled_text)
-
-
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = survivor.survivors(table(spark, sf_dir, "people_records"), "id", "record_id", "source_fetched_at", FIELDS, least_rows=2)
-    return chosen.select(F.col("k").cast("bigint").alias("person_id"), F.col("bundle").alias("field_name"), F.col("record").cast("bigint").alias("record_id"))
-
-
-def p5_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per person: both names from one sighting, and a picture that some sighting shows under that name."""
-    df = table(spark, sf_dir, "people_records")
-    bundles = [NAME, *FIELDS]
-    chosen = survivor.survivors(df, "id", "record_id", "source_fetched_at", bundles, [survivor.Dependency("name", "profile_path")])
-    return survivor.golden_records(df, chosen, "id", "record_id", bundles)
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = unpack.unpack(table(spark, sf_dir, "movies"), "id", "imdb_genres")
     return found.select(F.col("owner").cast("bigint").alias("movie_id"), "pos", "value")
@@ -115,7 +93,7 @@ def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.loaded(table(spark, sf_dir, "raw_ratings")).select("line_id", "tconst", "averageRating", F.col("numVotes").cast("bigint").alias("numVotes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cast, p1_companies, p2_found, p3_found, p3_values, p4_found, p4_profile, p4_control_limits, p5_found, p5_people, p6_found, p7_found, p7_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cast, p1_companies, p2_found, p3_found, p3_values, p4_found, p4_profile, p4_control_limits, p6_found, p7_found, p7_loaded)}
 
 
 def _links() -> str:
@@ -182,22 +160,6 @@ moved AS (SELECT n, col FROM (SELECT n, col, kind, item, sum(share) - sum(was) A
 SELECT DISTINCT strftime(ingest_date, '%Y-%m-%d') AS ingest_date, col AS column_name FROM moved JOIN days USING (n) WHERE n > 1"""
 
 
-_STAND_IN_SQL = ", ".join("'" + s.replace("'", "''") + "'" for s in ("", *STAND_INS))
-
-
-def _survivor_sql() -> str:
-    filled = {c: f"lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')) NOT IN ({_STAND_IN_SQL})" for c in ("known_for_department", "profile_path")}
-    filled["popularity"] = "popularity >= 0 AND NOT isnan(popularity) AND NOT isinf(popularity)"
-    parts = []
-    for c, ok in filled.items():
-        parts.append(
-            f"SELECT CAST(id AS BIGINT) AS person_id, '{c}' AS field_name, record_id FROM (SELECT id, record_id, row_number() OVER (PARTITION BY id ORDER BY source_fetched_at DESC NULLS LAST, record_id) AS rn "
-            f"FROM people_records WHERE {c} IS NOT NULL AND {ok} AND id IN (SELECT id FROM people_records GROUP BY id HAVING count(*) > 1)) WHERE rn = 1"
-        )
-    return " UNION ALL ".join(parts)
-
-
-_PLAIN_FIELD = "regexp_replace(f, '^\\s+|\\s+$', '', 'g')"
 _LINES = """
 WITH raw AS (SELECT line_id, raw_line, string_split(raw_line, chr(9)) AS fs FROM raw_ratings),
 cut AS (SELECT line_id, fs, list_transform(fs, lambda f: regexp_replace(f, '^\\s+|\\s+$', '', 'g')) AS gs FROM raw),
@@ -220,7 +182,6 @@ SQL = {
     "p3_values": f"WITH {_STATES}, both_states AS ({' UNION ALL '.join(f'''SELECT a.movie_id, a.n, '{c}' AS column_name, {_text(c, 'b')} AS old_value, {_text(c, 'a')} AS new_value FROM states a JOIN states b ON a.movie_id = b.movie_id AND a.n = b.n + 1 WHERE a.{c} IS DISTINCT FROM b.{c}''' for c in _SNAPSHOT_COLUMNS)}) SELECT CAST(movie_id AS BIGINT) AS movie_id, strftime(ingest_date, '%Y-%m-%d') AS ingest_date, column_name, old_value, new_value FROM both_states JOIN days USING (n)",
     "p4_found": _drift_sql(),
     "p4_profile": _profile_sql(),
-    "p5_found": _survivor_sql(),
     "p7_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p7_loaded": _LINES + "SELECT line_id, nullif(vs[1], '\\N') AS tconst, CAST(nullif(vs[2], '\\N') AS DOUBLE) AS \"averageRating\", CAST(nullif(vs[3], '\\N') AS BIGINT) AS \"numVotes\" FROM judged WHERE reason IS NULL",
 }

@@ -1,4 +1,4 @@
-"""Problems 1 to 7: brute-force comparisons and edge cases on small fixtures."""
+"""Problems 1 to 4, 6 and 7: brute-force comparisons and edge cases on small fixtures."""
 
 import random
 from datetime import date, datetime
@@ -6,8 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from reelmill.functions.values import is_filled_amount, is_filled_text
-from reelmill.operators import nested, profile, redelivery, rejects, snapshots, survivor, unpack
+from reelmill.operators import nested, profile, redelivery, rejects, snapshots, unpack
 
 PAYLOAD = "movie_id bigint, relation string, payload struct<id:int, genres:array<struct<id:int,name:string>>, belongs_to_collection:struct<id:int,name:string>, credits:struct<cast:array<struct<credit_id:string>>>>"
 RELATIONS = [nested.Relation("genre", "payload.genres", "id"), nested.Relation("collection", "payload.belongs_to_collection", "id"), nested.Relation("cast", "payload.credits.cast", "credit_id")]
@@ -174,55 +173,6 @@ def test_form(spark):
     assert df.select(profile.form(F.col("t"))).first()[0] == "A-9 a Aa_9a"
 
 
-BUNDLES = [survivor.Bundle("dep", ("dep",), is_filled_text), survivor.Bundle("pop", ("pop",), is_filled_amount)]
-
-
-def test_survivors_field_by_field(spark):
-    t = datetime(2026, 1, 1)
-    rows = [
-        (10, 1, "Acting", -1.0, t),
-        (11, 1, " n/a ", 2.0, None),
-        (12, 1, "Sound", float("nan"), datetime(2025, 1, 1)),
-        (13, 2, "Acting", 1.0, t),
-        (14, 3, "?", None, t),
-        (15, 3, None, float("inf"), t),
-        (16, 4, "x", 0.0, t),
-        (17, 4, "y", 0.0, t),
-        (18, None, "z", 0.0, t),
-        (19, None, "z", 0.0, t),
-    ]
-    df = spark.createDataFrame(rows, "record_id long, id int, dep string, pop double, at timestamp")
-    got = {tuple(r) for r in survivor.survivors(df, "id", "record_id", "at", BUNDLES, least_rows=2).collect()}
-    assert got == {(1, "dep", 10), (1, "pop", 11), (4, "dep", 16), (4, "pop", 16)}
-    assert survivor.survivors(df.where("false"), "id", "record_id", "at", BUNDLES).count() == 0
-
-
-def test_survivors_under_dependencies_against_brute_force(spark):
-    rnd = random.Random(1)
-    rows = [(k * 10 + i, k, rnd.choice(["a", "b", "c", None]), rnd.choice(["x", "y", "z", None]), rnd.choice([None, *range(1, 9)])) for k in range(50) for i in range(rnd.randrange(1, 8))]
-    df = spark.createDataFrame(rows, "record_id long, id long, a string, b string, t int").selectExpr("record_id", "id", "a", "b", "timestamp_seconds(t) as at")
-    bundles = [survivor.Bundle(x, (x,), is_filled_text) for x in "ab"]
-    got = {}
-    for k, b, r in survivor.survivors(df, "id", "record_id", "at", bundles, [survivor.Dependency("a", "b")]).collect():
-        got.setdefault(k, {})[b] = r
-    by = {r[0]: r for r in rows}
-    trust = lambda r: survivor.NEVER if r[4] is None else r[4]
-    for k in range(50):
-        group = [r for r in rows if r[1] == k]
-        a_rows, b_rows = [r for r in group if r[2]], [r for r in group if r[3]]
-        best = None
-        for a in a_rows or [None]:
-            for b in b_rows or [None]:
-                beside = {r[3] for r in group if a and r[2] == a[2] and r[3]}
-                if a and b and beside and b[3] not in beside:
-                    continue
-                total = sum(trust(x) for x in (a, b) if x)
-                best = total if best is None else max(best, total)
-        chosen = got.get(k, {})
-        assert set(chosen) == ({"a"} if a_rows else set()) | ({"b"} if b_rows else set())
-        assert sum(trust(by[r]) for r in chosen.values()) == (best or 0)
-
-
 @pytest.mark.parametrize(
     ("cell", "values"),
     [
