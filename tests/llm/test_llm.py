@@ -295,4 +295,44 @@ def test_statistics_table(spark):
     assert stats[5]["n_words"] == 0 and stats[5]["prose_share"] == 0
     assert sorted(r[0] for r in textstats.mostly_no_prose(docs, common).collect()) == [4, 4, 5]
     assert textstats.mostly_no_prose(docs.where("false"), common).count() == 0
-    assert textstats.mostly_no_prose(docs, common.where("false")).count() == 5
+    # without a list every language is unknown: sentences are told by their run
+    assert sorted(r[0] for r in textstats.mostly_no_prose(docs, common.where("false")).collect()) == [4, 4, 5]
+
+
+OTHER_LANGUAGES = {
+    "fi": "Vanha majakanvartija asui saaren pohjoispäässä yksin koiransa kanssa. Joka ilta hän sytytti lampun ja kirjoitti päiväkirjaansa, mitä meri oli tuonut rantaan. Eräänä syksynä laiva ajoi karille, eikä kukaan uskonut hänen kertomustaan.",
+    "pl": "Stary latarnik mieszkał na północnym krańcu wyspy razem ze swoim psem. Każdego wieczoru zapalał lampę i zapisywał w dzienniku, co morze wyrzuciło na brzeg. Pewnej jesieni statek wpłynął na skały, ale nikt nie uwierzył w jego opowieść.",
+    "it": "Il vecchio guardiano del faro viveva da solo con il suo cane. Ogni sera accendeva la lampada e scriveva nel diario quello che il mare aveva portato a riva. Un autunno una nave finì sugli scogli, ma nessuno credette al suo racconto.",
+    "tr": "Yaşlı fener bekçisi adanın kuzey ucunda köpeğiyle yalnız yaşıyordu. Her akşam lambayı yakıyor ve denizin kıyıya getirdiklerini defterine yazıyordu. Bir sonbahar gecesi gemi kayalara çarptı ama kimse ona inanmadı.",
+    "hu": "Az öreg világítótoronyőr egyedül élt a kutyájával a sziget északi végén. Minden este meggyújtotta a lámpát, és feljegyezte a naplójába, mit hozott partra a tenger. Egy őszi éjszakán egy hajó zátonyra futott.",
+    "ru": "Старый смотритель маяка жил один со своей собакой на севере острова. Каждый вечер он зажигал лампу и записывал в дневник, что море вынесло на берег. Однажды осенью корабль сел на мель.",
+    "zh": "老灯塔看守人独自和他的狗住在岛的北端。每天晚上他点亮灯，在日记里写下大海带到岸边的东西。有一年秋天，一艘船撞上了礁石。",
+}
+
+
+@pytest.mark.parametrize("lang", OTHER_LANGUAGES)
+@pytest.mark.parametrize("known", [COMMON, {}])
+def test_sentences_are_prose_whatever_their_language(lang, known):
+    text = OTHER_LANGUAGES[lang]
+    assert textstats.statistics(text, known)[-1] > 0.5
+    assert textstats.statistics(text * 3 + "\n\n" + text, known)[-1] > 0.5
+    if lang != "zh":
+        words = text.split()
+        ragged = "\n".join(" ".join(words[i : i + 6]) for i in range(0, len(words), 6))
+        assert textstats.statistics(ragged, known)[-1] > 0.5
+        # fragments and names in it are none
+        assert textstats.statistics("\n".join(f"- {a} {b}" for a, b in zip(words[::2], words[1::2])).replace(".", ""), known)[-1] < 0.5
+        assert textstats.statistics("; ".join(f"{a} {b}" for a, b in zip(words[::2], words[1::2])).replace(".", ""), known)[-1] < 0.5
+
+
+@pytest.mark.parametrize("text", NO_PROSE)
+def test_no_prose_without_common_words(text):
+    assert textstats.statistics(text, {})[-1] < 0.5
+
+
+def test_long_lists_of_common_words_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*PROSE, *NO_PROSE, None, ""])], "doc_id long, text string")
+    common = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    plain = sorted(map(tuple, textstats.text_statistics(docs, common).collect()))
+    monkeypatch.setattr(textstats, "MAX_COMMON", 3)
+    assert sorted(map(tuple, textstats.text_statistics(docs, common).collect())) == plain
