@@ -43,25 +43,24 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    held = scratch_table(mixing.sized(table(spark, sf_dir, "documents")), "sized")
-    return held, mixing.plan(held, table(spark, sf_dir, "mix_targets"))
+    held = scratch_table(mixing.sized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")), "sized")
+    return held, scratch_table(mixing.plan(held, table(spark, sf_dir, "mix_targets")), "plan")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, planned = _mixture(spark, sf_dir)
-    return planned.where("short").select("source")
+    """The sources of which every token is used as often as allowed and the share isn't reached."""
+    return p9_shares(spark, sf_dir).where("short").select("source")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents used and how often."""
     held, planned = _mixture(spark, sf_dir)
-    return mixing.mix(held, scratch_table(planned, "plan"))
+    return mixing.mix(held, planned)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
     held, planned = _mixture(spark, sf_dir)
-    planned = scratch_table(planned, "plan")
     return mixing.shares(planned, mixing.mix(held, planned))
 
 

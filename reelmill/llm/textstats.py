@@ -357,6 +357,12 @@ def _portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 
+def prose_shares(texts: list[str | None], common: dict[str, int], known: Iterable | None = None) -> list[float | None]:
+    """The share of prose of each text; ``known`` are the words known to each where the list isn't broadcast."""
+    held = [common] * len(texts) if known is None else [word_kinds(() if x is None else x) for x in known]
+    return [r[-1] for a, b in _portions(texts) for r in statistics_of(texts[a:b], held[a:b])]
+
+
 def text_statistics(documents: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, COLUMNS)``: one row per row of ``documents``."""
     kind = documents.schema[doc_id].dataType.simpleString()

@@ -219,11 +219,17 @@ def test_empty_tables_mix_to_nothing(spark):
     assert mixing.plan(df, targets.where("false")).count() == 0
 
 
-def test_tokens_of_odd_texts(spark):
+def test_tokens_of_odd_texts(spark, monkeypatch):
     assert mixing.count_tokens([None, "", "a word"]) == [0, 0, 2]
     encode = mixing.encoder(mixing.TOKENIZER).encode_ordinary
     text = "some running words " * 30_000
-    assert mixing.count_tokens([text])[0] == pytest.approx(len(encode(text)), abs=10)
+    assert mixing.count_tokens([text])[0] == len(encode(text))
+    rnd = random.Random(7)
+    for size in (0, 3, 10, 50):
+        monkeypatch.setattr(mixing, "PIECE", size)
+        for _ in range(200):
+            odd = "".join(rnd.choice(["word", "s", "'s", " ", "  ", "\n", "\t ", "12", "é", "漢字", "!?", "_", "\u00a0", " \n", "...", "a"]) for _ in range(60))
+            assert mixing.count_tokens([odd])[0] == len(encode(odd)), odd
     docs = spark.createDataFrame([(1, "a", "one two", 5), (2, None, None, 5), (3, "a", "", 5)], "doc_id long, source string, text string, tokens int")
     assert {r["doc_id"]: r["tokens"] for r in mixing.sized(docs).collect()} == {1: 2, 2: 0, 3: 0}
 
@@ -299,6 +305,20 @@ def test_statistics_table(spark):
     assert sorted(r[0] for r in textstats.mostly_no_prose(docs, common.where("false")).collect()) == [4, 4, 5]
 
 
+def test_mix_without_broadcast_and_shortness_of_what_was_used(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 20)
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
+    df = held(spark, [(s, n % 7) for n in range(400) for s in ("a", "b")] + [("tiny", 0), ("tiny", 3), (None, 5)])
+    targets = spark.createDataFrame([("a", 0.35, 2), ("b", 0.45, 1), ("tiny", 0.1, 2), ("absent", 0.1, 3)], TARGETS)
+    planned = mixing.plan(df, targets)
+    mixed = mixing.mix(df, planned)
+    plain = sorted(map(tuple, mixed.collect()))
+    assert max(r[3] for r in plain) <= 2
+    assert {r["source"] for r in mixing.shares(planned, mixed).where("short").collect()} == {r["source"] for r in planned.where("short").collect()} == {"tiny", "absent"}
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 1)
+    assert sorted(map(tuple, mixing.mix(df, planned).collect())) == plain
+
+
 OTHER_LANGUAGES = {
     "fi": "Vanha majakanvartija asui saaren pohjoispäässä yksin koiransa kanssa. Joka ilta hän sytytti lampun ja kirjoitti päiväkirjaansa, mitä meri oli tuonut rantaan. Eräänä syksynä laiva ajoi karille, eikä kukaan uskonut hänen kertomustaan.",
     "pl": "Stary latarnik mieszkał na północnym krańcu wyspy razem ze swoim psem. Każdego wieczoru zapalał lampę i zapisywał w dzienniku, co morze wyrzuciło na brzeg. Pewnej jesieni statek wpłynął na skały, ale nikt nie uwierzył w jego opowieść.",
