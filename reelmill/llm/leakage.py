@@ -7,11 +7,12 @@ agree again or else a single one does; agreeing words within such a gap count. I
 it is a leak of the item that covers at least MIN_RUN of the item's words, wording that several items share not counted,
 and of which at least MIN_AGREE of the item's words agree; parts that overlap are one span. If there is none, a
 single agreeing word behind an altered one is taken in at either edge. What is found is given as spans of words to
-remove, and as the share of the document they cover (:func:`coverage`).
+remove (:func:`without_leaks`), and as the share of the document they cover (:func:`coverage`).
 
 Scale. Documents are streamed in Arrow batches without a shuffle, whole texts, a word at a time; time is linear in the
-corpus. What is broadcast is the items' words, test material of a stated size: more than MAX_BLOCK words are split into
-blocks of items with an automaton each, and more than MAX_BLOCKS blocks are refused.
+corpus. What is broadcast is an automaton's worth of items, at most MAX_BLOCK words (or one item): test material of any
+size is split into blocks of items, each of which is a pass of its own over the corpus, so that a worker holds one
+automaton at a time. Wording that items of different blocks share is found by a join of their runs of words.
 
 Edge cases: null and empty texts match nothing; an item shorter than MIN_RUN words can't leak; an item given twice is
 wording that several items share, hence no leak of either; documents with equal ids are looked at separately and give
@@ -21,8 +22,9 @@ one row per id and item.
 from __future__ import annotations
 
 import itertools
+import re
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.llm.words import words
-from reelmill.session import spread
+from reelmill.session import scratch_table, spread, work_dir
 
 MIN_RUN = 18
 SEED = 5
@@ -41,8 +43,8 @@ MIN_AGREE = 0.86
 GAP_COST = 2
 MAX_DROP = 6
 
-MAX_BLOCK = 2_000_000
-MAX_BLOCKS = 16
+#: Words of the items of one automaton; a worker needs about 1 kB a word.
+MAX_BLOCK = 500_000
 
 #: What may lie between two stretches that agree: words of the item, words of the document.
 _GAPS = sorted(((a, b) for a in range(4) for b in range(4) if a + b), key=lambda g: (g[0] + g[1], abs(g[0] - g[1])))
@@ -51,7 +53,8 @@ _GAPS = sorted(((a, b) for a in range(4) for b in range(4) if a + b), key=lambda
 class Automaton:
     """Generalised suffix automaton over the items' word numbers, with item and offset of every match."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
+    def __init__(self, items: list[tuple[int, list[str]]], shared: list[list[int]] | None = None) -> None:
+        """``shared``: per item where its runs of SHARED_RUN words begin that other items have too; None: found among ``items``."""
         self.vocabulary: dict[str, int] = {}
         self.text: list[int] = []  # all items, each followed by a number no word has
         self.owner: list[int] = []
@@ -66,7 +69,7 @@ class Automaton:
             self.first += [begin] * (end - begin + 1)
             self.past += [end] * (end - begin + 1)
         self._build()
-        self._share()
+        self._share(shared_runs(items) if shared is None else shared)
 
     def _build(self) -> None:
         self.next: list[dict[int, int]] = [{}]
@@ -128,17 +131,13 @@ class Automaton:
             self._ends[state] = held
         return held
 
-    def _share(self) -> None:
+    def _share(self, runs: list[list[int]]) -> None:
         """``counted[k]``: words before position k that aren't shared wording."""
         shared = [False] * len(self.text)
-        held: dict[tuple[int, ...], list[int]] = {}
-        for k in range(len(self.text) - SHARED_RUN + 1):
-            if k + SHARED_RUN <= self.past[k]:
-                held.setdefault(tuple(self.text[k : k + SHARED_RUN]), []).append(k)
-        for starts in held.values():
-            if len({self.owner[k] for k in starts}) > 1:
-                for k in starts:
-                    shared[k : k + SHARED_RUN] = [True] * SHARED_RUN
+        begins = [k for k in range(len(self.text)) if self.first[k] == k]
+        for begin, starts in zip(begins, runs):
+            for k in starts:
+                shared[begin + k : begin + k + SHARED_RUN] = [True] * SHARED_RUN
         self.counted = [0]
         for k, c in enumerate(self.text):
             self.counted.append(self.counted[-1] + (c >= 0 and not shared[k]))
@@ -266,52 +265,95 @@ def _shift(pairs: list[tuple[int, int]], i: int, j: int) -> list[tuple[int, int]
     return [(a + i, b + j) for a, b in pairs]
 
 
-def _blocks(items: list[tuple[int, list[str]]]) -> list[list[tuple[int, list[str]]]]:
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for item in items:
-        if size and size + len(item[1]) > MAX_BLOCK:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(item)
-        size += len(item[1])
-    if len(blocks) > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS * MAX_BLOCK} words of test material")
-    return blocks
+def shared_runs(items: list[tuple[int, list[str]]]) -> list[list[int]]:
+    """Per item the positions at which runs of SHARED_RUN words begin that an item of another number has too."""
+    held: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for i, (_, tokens) in enumerate(items):
+        for k in range(len(tokens) - SHARED_RUN + 1):
+            held.setdefault(tuple(tokens[k : k + SHARED_RUN]), []).append((i, k))
+    out: list[list[int]] = [[] for _ in items]
+    for places in held.values():
+        if len({items[i][0] for i, _ in places}) > 1:
+            for i, k in places:
+                out[i].append(k)
+    return out
+
+
+def _tokenised(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """``(item, tokens)`` of the items that have a number and a text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"item": batch["item"], "tokens": [words(t) for t in batch["t"]]})
+
+    rows = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item"), F.col(f"`{item_text}`").alias("t")).where("item is not null and t is not null")
+    return rows.mapInPandas(run, "item bigint, tokens array<string>")
+
+
+def _with_shared(tokenised: DataFrame) -> DataFrame:
+    """``(item, tokens, shared)``: :func:`shared_runs` by a join, for items of any number."""
+    keyed = tokenised.withColumn("key", F.md5(F.array_join("tokens", " ")))
+    runs = F.expr(f"transform(sequence(0, size(tokens) - {SHARED_RUN}), k -> array_join(slice(tokens, k + 1, {SHARED_RUN}), ' '))")
+    placed = keyed.where(F.size("tokens") >= SHARED_RUN).select("item", "key", F.posexplode(runs).alias("k", "run"))
+    shared = placed.groupBy("run").agg(F.min("item").alias("a"), F.max("item").alias("b")).where("a <> b").select("run")
+    starts = placed.join(shared, "run").groupBy("item", "key").agg(F.collect_set("k").alias("shared"))
+    return keyed.join(starts, ["item", "key"], "left").select("item", "tokens", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
 
 
 _BUILT: dict = {}
 _NUMBERS = (f"{uuid.uuid4().hex}-{k}" for k in itertools.count())
 
 
-def _automata(number: str, blocks) -> list[Automaton]:
-    """The automata of a broadcast, built once per Python worker."""
+def _automaton(number: str, held) -> Automaton:
+    """The automaton of a broadcast, built once per Python worker, which keeps one."""
     if _BUILT.get("of") != number:
-        _BUILT.update(of=number, automata=[Automaton(b) for b in blocks.value])
-    return _BUILT["automata"]
+        _BUILT.clear()
+        _BUILT.update(of=number, automaton=Automaton(*held.value))
+    return _BUILT["automaton"]
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, n_words, n_agree, first_word, past_word)``: every span of a document that leaks an item."""
-    held = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").collect()
-    blocks = _blocks([(r["i"], words(r["t"])) for r in sorted(held, key=lambda r: (r["i"], r["t"]))])
-    shared = documents.sparkSession.sparkContext.broadcast(blocks)
+_FOUND = ["doc_id", "text_key", "item_id", "n_words", "n_agree", "first_word", "past_word", "total_words"]
+
+
+def _scan(documents: DataFrame, items: list[tuple[int, list[str]]], shared: list[list[int]] | None) -> DataFrame:
+    held = documents.sparkSession.sparkContext.broadcast((items, shared))
     number = next(_NUMBERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = _automata(number, shared)
+        automaton = _automaton(number, held)
         for batch in batches:
             rows = []
-            for doc, t in zip(batch["doc_id"], batch["text"]):
+            for doc, key, t in zip(batch["doc_id"], batch["text_key"], batch["text"]):
                 if t:
                     tokens = words(t)
                     if len(tokens) >= MIN_RUN * MIN_AGREE:
-                        for automaton in automata:
-                            rows += [(doc, *s) for s in automaton.spans(tokens)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "n_agree", "first_word", "past_word"])
+                        rows += [(doc, key, *s, len(tokens)) for s in automaton.spans(tokens)]
+            yield pd.DataFrame(rows, columns=_FOUND)
 
-    kind = documents.schema[doc_id].dataType.simpleString()
-    return spread(documents.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")).mapInPandas(run, f"doc_id {kind}, item_id bigint, n_words int, n_agree int, first_word int, past_word int")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.mapInPandas(run, f"doc_id {kind}, text_key bigint, item_id bigint, n_words int, n_agree int, first_word int, past_word int, total_words int")
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``(doc_id, text_key, item_id, n_words, n_agree, first_word, past_word, total_words)``: every span of a document that leaks an item.
+
+    ``text_key`` tells documents of equal id apart.
+    """
+    spark = documents.sparkSession
+    docs = spread(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text")))
+    tokenised = scratch_table(_tokenised(items, item_id, item_text), "items")
+    size = tokenised.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    if size <= MAX_BLOCK:
+        held = sorted((r["item"], list(r["tokens"])) for r in tokenised.collect())
+        return _scan(docs, held, None)
+    n = -(-size // MAX_BLOCK)
+    blocks = scratch_table(_with_shared(tokenised).withColumn("block", F.pmod(F.xxhash64("item", "tokens"), F.lit(n))), "item-blocks")
+    path = f"{work_dir(spark)}/leaks-{uuid.uuid4().hex}"
+    for b in range(n):
+        held = sorted((r["item"], list(r["tokens"]), sorted(r["shared"])) for r in blocks.where(F.col("block") == b).collect())
+        out = _scan(docs, [r[:2] for r in held], [r[2] for r in held])
+        out.write.mode("append").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -319,22 +361,64 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     return leaks(documents, items).select("doc_id", "item_id").distinct()
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """Per document the spans of all items, overlapping ones as one, and what they cover."""
+    merge = """aggregate(array_sort(collect_set(struct(first_word, past_word))), cast(array() as array<struct<a:int,b:int>>),
+      (held, s) -> if(size(held) > 0 and s.first_word <= held[size(held) - 1].b,
+        concat(slice(held, 1, size(held) - 1), array(named_struct('a', held[size(held) - 1].a, 'b', greatest(held[size(held) - 1].b, s.past_word)))),
+        concat(held, array(named_struct('a', s.first_word, 'b', s.past_word)))))"""
+    spans = found.groupBy("doc_id", "text_key").agg(F.countDistinct("item_id").alias("n_items"), F.max("total_words").cast("bigint").alias("total_words"), F.expr(merge).alias("spans"))
+    return spans.withColumn("leaked_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)")).withColumn("share", F.try_divide("leaked_words", "total_words"))
+
+
 def coverage(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, n_items, leaked_words, total_words, share)`` of the documents with a leak; overlapping spans count once."""
-    found = leaks(documents, items)
+    """``(doc_id, n_items, leaked_words, total_words, share)`` of the documents with a leak; overlapping spans count once.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, t, spans in zip(batch["doc_id"], batch["text"], batch["spans"]):
-                held = merge_spans([(s["first_word"], s["past_word"]) for s in spans])
-                n, all_words = sum(b - a for a, b in held), len(words(t or ""))
-                rows.append((doc, len({s["item_id"] for s in spans}), n, all_words, n / all_words if all_words else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_items", "leaked_words", "total_words", "share"])
+    Rows of equal id and text are one document, those of equal id and different texts are several.
+    """
+    return _merged(leaks(documents, items)).select("doc_id", "n_items", "leaked_words", "total_words", "share")
 
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "first_word", "past_word")).alias("spans"))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").join(spans, "doc_id").mapInPandas(run, f"doc_id {kind}, n_items bigint, leaked_words bigint, total_words bigint, share double")
+
+def without_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", most: float = 0.5) -> DataFrame:
+    """``documents`` without the leaked spans, and without the documents of which they are more than ``most``.
+
+    ``removed_words`` is added: how many words were cut out, 0 for a document that had no leak.
+    """
+    spans = _merged(leaks(documents, items, doc_id, text)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"), F.col("share").alias("__share"), F.col("leaked_words").alias("__n"))
+    keyed = documents.withColumn("__t", F.xxhash64(F.col(f"`{text}`")))
+    held = keyed.join(spans, (F.col(f"`{doc_id}`") == F.col("__id")) & (F.col("__t") == F.col("__key")), "left")
+    held = held.where(F.coalesce("__share", F.lit(0.0)) <= most)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else cut_spans(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, found)], dtype=object)
+
+    removed = F.coalesce("__n", F.lit(0)).alias("removed_words")
+    return held.select(*[cut(F.col(f"`{text}`"), F.col("__spans")).alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns], removed)
+
+
+#: Stretches without white space; one that is broken by a hyphen at the end of a line goes on behind it.
+_CHUNK = re.compile(r"[^ \t\r\n\f\v]+(?:(?<=[^\W\d_]-)[^\S\n]*\n[\s>|]*(?=[^\W\d_])[^ \t\r\n\f\v]+)*")
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of ``spans`` (numbered as :func:`words` does).
+
+    Stretches of the text that hold a word of a span are cut out and the rest stays as it is; where the words of the
+    stretches aren't those of the whole text (some disguises reach across white space), the other words are returned.
+    """
+    places = [(m.start(), m.end()) for m in _CHUNK.finditer(text)]
+    past = list(itertools.accumulate(len(words(text[a:b])) for a, b in places))
+    every = words(text)
+    if (past[-1] if past else 0) != len(every):
+        return " ".join(w for i, w in enumerate(every) if not any(a <= i < b for a, b in spans))
+    out, at = [], 0
+    for a, b in spans:
+        i = bisect_right(past, a)
+        j = bisect_left(past, b)
+        out.append(text[at : places[i][0]])
+        at = places[j][1]
+    return "".join(out) + text[at:]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -89,6 +89,35 @@ def test_leaks(spark):
     assert cover[6]["n_items"] == 2 and 58 <= cover[6]["leaked_words"] <= 66
 
 
+def test_blocks_of_items_give_the_same_leaks(spark, monkeypatch):
+    rnd = random.Random(11)
+    a, b, c, shared = (sentence(rnd, n) for n in (60, 60, 60, 30))
+    items = spark.createDataFrame([(1, " ".join(a + shared)), (2, " ".join(shared + b)), (3, " ".join(c)), (3, " ".join(c)), (4, None), (5, "few")], "item_id long, text string")
+    noise = sentence(rnd, 30)
+    rows = [(1, noise + a[:30] + noise), (2, noise + shared + noise), (3, c[5:40]), (4, noise), (3, b[:25] + noise), (3, c[5:40])]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    whole = sorted(map(tuple, leakage.leaks(docs, items).collect()))
+    assert {(r[0], r[2]) for r in whole} == {(1, 1), (3, 3), (3, 2)}  # the shared wording is no leak
+    cover = sorted(map(tuple, leakage.coverage(docs, items).collect()))
+    assert [(r[0], r[1]) for r in cover] == [(1, 1), (3, 1), (3, 1)]
+    monkeypatch.setattr(leakage, "MAX_BLOCK", 80)
+    assert sorted(map(tuple, leakage.leaks(docs, items).collect())) == whole
+    assert sorted(map(tuple, leakage.coverage(docs, items).collect())) == cover
+
+
+def test_leaked_spans_are_cut_out(spark):
+    rnd = random.Random(12)
+    a, noise = sentence(rnd, 60), sentence(rnd, 30)
+    items = spark.createDataFrame([(1, " ".join(a))], "item_id long, text string")
+    mixed = f"{' '.join(noise)}.\n\n({', '.join(a[5:30]).upper()})! {' '.join(noise)}"
+    docs = spark.createDataFrame([(1, mixed, 7), (2, " ".join(a), 7), (3, " ".join(noise), 7), (4, None, 7)], "doc_id long, text string, spans int")
+    got = {r["doc_id"]: r for r in leakage.without_leaks(docs, items).collect()}
+    assert set(got) == {1, 3, 4} and got[1]["removed_words"] == 25 and got[1]["spans"] == 7
+    assert got[1]["text"] == f"{' '.join(noise)}.\n\n {' '.join(noise)}" and got[3]["text"] == " ".join(noise) and got[4]["text"] is None
+    assert leakage.cut_spans("one two-\nthree four&nbsp;five six", [(1, 2)]) == "one  four&nbsp;five six"
+    assert leakage.cut_spans("a b c d", [(0, 1), (3, 4)]) == " b c "
+
+
 def p8_items(a, b=()):
     return leakage.Automaton([(1, list(a)), (2, list(b))])
 
