@@ -8,6 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that :func:`spread` may move.
+SPREAD_BYTES = 64 * 2**20
+
+_MARKED: set[str] = set()
+
 
 def build_session(app: str = "reelmill", master: str | None = None, **extra: str) -> SparkSession:
     """A session for jobs and tests; on a cluster the master and memory come from spark-submit.
@@ -37,25 +42,30 @@ def build_session(app: str = "reelmill", master: str | None = None, **extra: str
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode (tests) and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="reelmill-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    work_dir(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the application ends."""
+    path = f"{work_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _MARKED.add(path)
+    return path
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
@@ -63,15 +73,23 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a checkpoint the result is columnar, so a reader that needs two columns reads two columns.
     """
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the size of ``df``, from the sizes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give less than half as many tasks; a table of many files stays as it is.
+    """``df`` over all cores where it is small and its files, which can't be split, give less than half as many tasks.
 
-    For scans that work long on each row: a small table in one file would otherwise keep one core busy.
+    For scans that work long on each row: a small table in one file would otherwise keep one core busy. Beyond
+    SPREAD_BYTES nothing is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    if estimated_bytes(df) > SPREAD_BYTES or 2 * df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
