@@ -79,8 +79,8 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the size of ``df``, from the sizes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimiser's estimate of the size of ``df``, from the sizes of its files; 2**60 and more where it knows none."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -155,6 +155,24 @@ def test_index_is_swapped(spark, tmp_path):
     assert index.deliver(day([(1, "a"), (2, "b")]), "1").count() == 0
     assert {tuple(r) for r in index.deliver(day([(1, "a"), (2, "c"), (3, "d")]), "2").collect()} == {(2, "changed"), (3, "added")}
     assert {tuple(r) for r in index.deliver(day([(2, "c")]), "3").collect()} == {(1, "removed"), (3, "removed")}
+    # a corrected delivery under the same label, by a process of its own
+    index = snapshots.SnapshotIndex(spark, str(tmp_path), "k")
+    assert {tuple(r) for r in index.deliver(day([(2, "d"), (4, "e"), (None, "x")]), "3").collect()} == {(2, "changed"), (4, "added")}
+    assert len([n for n in index.files.names(str(tmp_path)) if n.startswith("index-")]) == 2
+
+
+def test_probe_moves_no_index(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id as k", "hash(id) as v", "'a' as s")
+    a, b = (snapshots.write_buckets(snapshots.key_hash_index(rows, "k", "s").drop("s"), str(tmp_path / x), 3) for x in "ab")
+    plan = snapshots.probe(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_many_snapshots_are_folded_in_parts(spark, monkeypatch):
+    rows = [(k, date(2026, 3, d), f"{(k * d) % 3}", 1.0, 0) for d in range(1, 8) for k in range(4) if (k + d) % 3]
+    df = spark.createDataFrame(rows, SNAP)
+    monkeypatch.setattr(snapshots, "PROBES", 2)
+    assert {(r["k"], r["s"], r["change"]) for r in snapshots.changes(df, "k", "day").collect()} == brute_changes(rows)
 
 
 def test_profile_departures(spark):
