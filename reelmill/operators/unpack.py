@@ -2,16 +2,16 @@
 
 Quoted spans, escaped characters and the elements of JSON and brace arrays are atomic. What is left between them are
 runs of atoms with delimiters (``, ; | /`` or a hyphen between blanks), each of which may be a boundary or part of a
-value ("Sword/Sorcery"). Tabs and line breaks are always boundaries. A run is a lattice: an arc joins up to MAX_JOIN
-neighbouring atoms to one value, or more where the value stands whole (quoted, escaped or in an array) in some cell of
-the column. Value frequencies come from the whole column by expectation-maximisation (forward-
-backward over every lattice); a value that is only ever seen as a join loses one observation per round, and each join
-costs prior odds, so joins need support. The Viterbi path through each lattice is the split.
+value ("Sword/Sorcery"). Tabs and line breaks are always boundaries. A run is a lattice: an arc is an atom, or joins any
+number of neighbouring atoms to a value that stands at least twice in the column, unquoted or whole (quoted, escaped or
+in an array). Value frequencies come from the whole column by expectation-maximisation (forward-backward over every
+lattice) until they settle; a value that is only ever seen as a join counts one observation less, and each join costs
+prior odds, so joins need support. The Viterbi path through each lattice is the split.
 
-Scale. Equal cells of a film and equal runs are merged first. Frequencies, arcs and runs are tables joined by key:
-nothing is broadcast or collected but two sums, so the vocabulary may be of any size. A run's lattice has at most
-MAX_JOIN arcs per atom, besides the longer values that begin there, and is handled by itself. Longer values meet the
-runs by their first MAX_JOIN atoms.
+Scale. Equal cells of a film and equal runs are merged first. Lattices are gathered by run once; a round sends each
+worker the frequencies, broadcast up to MAX_BROADCAST values and joined beyond, and shuffles expected counts that were
+summed within their batch. Joins are found by passes of rising length, as far as the column repeats itself. A lattice
+needs about 100 bytes an arc; its arcs are as many as its atoms times the length of what it repeats.
 
 Edge cases: a null, blank or ``\\N`` cell and empty pieces give nothing; an array that doesn't parse is read as plain
 text between its brackets; an unclosed quote is an ordinary character; equal (id, cell) rows are one cell.
@@ -28,13 +28,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Atoms that one value may join; with more, it must stand quoted, escaped or in an array somewhere to stay whole.
-MAX_JOIN = 3
+from reelmill.session import scratch_table
+
+#: Lengths of joins that one pass over the runs looks for.
+STEP = 6
 
 #: Prior odds of a join at a delimiter: without it the likelihood would favour whole cells seen twice.
 JOIN_PRIOR = 0.2
 
-ROUNDS = 3
+#: Values whose frequencies are broadcast.
+MAX_BROADCAST = 200_000
+
+#: Rounds end when counts move by less than this share of all; MOST_ROUNDS only stops a search that doesn't settle.
+SETTLED = 0.001
+MOST_ROUNDS = 100
 
 _SPACE = r"[^\S\t\n]"
 _QUOTED = re.compile(rf'{_SPACE}*"((?:[^"\\]|""|\\.)*+)"(?={_SPACE}*(?:[,;|/\t\n]|$)|{_SPACE}+-{_SPACE})', re.S)
@@ -117,48 +124,76 @@ def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def _arcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for run, weight, parts in zip(batch["run"], batch["weight"], batch["parts"]):
-            n = (len(parts) + 1) // 2
-            for i in range(n):
-                for j in range(i + 1, min(n, i + MAX_JOIN) + 1):
-                    rows.append((run, weight, n, i, j, "".join(parts[2 * i : 2 * j - 1])))
-        yield pd.DataFrame(rows, columns=["run", "weight", "n", "i", "j", "value"])
+def _grams(done: int):
+    """The joins of ``done`` + 1 to ``done`` + STEP neighbouring atoms that begin where the run's ``starts`` allow (null: anywhere)."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, weight, parts, starts, own in zip(batch["run"], batch["weight"], batch["parts"], batch["starts"], batch["own"]):
+                n = (len(parts) + 1) // 2
+                for i in range(n) if starts is None else starts:
+                    for j in range(i + max(2, done + 1), min(n, i + done + STEP) + 1):
+                        rows.append((name, weight, i, j, "".join(parts[2 * i : 2 * j - 1]), own))
+            yield pd.DataFrame(rows, columns=["run", "weight", "i", "j", "value", "own"])
 
-def _long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The values of more than MAX_JOIN atoms: their first MAX_JOIN, and how many there are."""
-    for batch in batches:
-        rows = []
-        for value in batch["value"]:
-            ends = [(m.start(), m.end()) for m in _DELIMITER.finditer(value)]
-            if len(ends) >= MAX_JOIN and ends[0][0] > 0 and ends[-1][1] < len(value) and all(a[1] < b[0] for a, b in zip(ends, ends[1:])):
-                rows.append((value[: ends[MAX_JOIN - 1][0]], value, len(ends) + 1))
-        yield pd.DataFrame(rows, columns=["head", "whole", "m"])
+    return run
 
 
-def _long_arcs(arcs: DataFrame, runs: DataFrame, fixed: DataFrame) -> DataFrame:
-    """The arcs over more than MAX_JOIN atoms whose value stands whole in some cell."""
-    stand = fixed.select("value").union(arcs.where("j = i + 1").select("value")).distinct()  # an atom with a delimiter was escaped
-    known = stand.mapInPandas(_long, "head string, whole string, m int")
-    begun = arcs.where(F.col("j") == F.col("i") + MAX_JOIN).join(known, F.col("value") == F.col("head")).where("i + m <= n")
-    held = begun.select("run", "n", "i", "whole", "m").join(runs, "run")
-    same = F.array_join(F.slice("parts", 2 * F.col("i") + 1, 2 * F.col("m") - 1), "") == F.col("whole")
-    return held.where(same).select("run", "weight", "n", "i", (F.col("i") + F.col("m")).alias("j"), F.col("whole").alias("value"))
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Values that stand whole, as the runs they would be without their quotes."""
+    for batch in batches:
+        rows = []
+        for value, c in zip(batch["value"], batch["c"]):
+            parts, at = [], 0
+            for m in _DELIMITER.finditer(value):
+                parts += [value[at : m.start()], m.group()]
+                at = m.end()
+            parts.append(value[at:])
+            if len(parts) > 1 and all(parts[::2]):
+                rows.append((value, c, parts))
+        yield pd.DataFrame(rows, columns=["run", "weight", "parts"])
+
+
+def _joins(runs: DataFrame, fixed: DataFrame, atoms: DataFrame) -> DataFrame:
+    """``(run, i, j, value)``: the joins that stand at least twice in the column, unquoted or within a whole value.
+
+    Joins of rising length: one can only stand twice if the shorter ones it begins with do, so a pass of STEP lengths
+    goes on where the last one's longest joins did.
+    """
+    whole = fixed.unionByName(atoms).groupBy("value").agg(F.sum("c").alias("c"))  # an atom that holds a delimiter was escaped
+    whole = whole.mapInPandas(_split, "run string, weight double, parts array<string>").withColumn("own", F.lit(False))
+    texts = scratch_table(runs.withColumn("own", F.lit(True)).unionByName(whole), "runs")
+    left, done, found = texts.withColumn("starts", F.lit(None).cast("array<int>")), 0, None
+    while True:
+        grams = scratch_table(left.mapInPandas(_grams(done), "run string, weight double, i int, j int, value string, own boolean"), "joins")
+        often = grams.groupBy("value").agg(F.sum("weight").alias("n")).where(F.col("n") >= 2).select("value")
+        kept = scratch_table(grams.join(often, "value", "left_semi").select("run", "i", "j", "value", "own"), "kept-joins")
+        own = kept.where("own").drop("own")
+        found = own if found is None else found.unionByName(own)
+        done += STEP
+        longest = kept.where(F.col("j") - F.col("i") == done)
+        if longest.isEmpty():
+            return found
+        starts = longest.groupBy("run", "own").agg(F.collect_set("i").alias("starts"))
+        left = texts.join(starts, ["run", "own"])
 
 
 def _lattice(arcs: list[dict], total: float) -> list[tuple[int, int, str, float]]:
     return sorted((a["i"], a["j"], a["value"], math.log(a["c"] / total) + (a["j"] - a["i"] - 1) * math.log(JOIN_PRIOR) if a["c"] and a["c"] > 0 else -math.inf) for a in arcs)
 
 
-def _expect(total: float):
+def _counted(arcs, known: dict[str, float] | None) -> list[dict]:
+    """The arcs as dictionaries with their counts, from ``known`` where that was broadcast."""
+    return [{"i": a["i"], "j": a["j"], "value": a["value"], "c": a["c"] if known is None else known.get(a["value"])} for a in arcs]
+
+
+def _expect(total: float, known):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            sums: dict[str, float] = {}
             for weight, n, arcs in zip(batch["weight"], batch["n"], batch["arcs"]):
-                lattice = _lattice(arcs, total)
+                lattice = _lattice(_counted(arcs, known and known.value), total)
                 into = [0.0] + [-math.inf] * n
                 for i, j, _, p in lattice:  # sorted by i: into[i] is complete
                     into[j] = _add(into[j], into[i] + p)
@@ -170,8 +205,8 @@ def _expect(total: float):
                 for i, j, value, p in lattice:
                     e = math.exp(into[i] + p + out[j] - into[n])
                     if e > 1e-9:
-                        rows.append((value, weight * e))
-            yield pd.DataFrame(rows, columns=["value", "c"])
+                        sums[value] = sums.get(value, 0.0) + weight * e
+            yield pd.DataFrame(list(sums.items()), columns=["value", "c"])
 
     return run
 
@@ -182,7 +217,7 @@ def _add(a: float, b: float) -> float:
     return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
-def _decide(total: float):
+def _decide(total: float, known):
     """The Viterbi path of each run, where it joins anything."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +225,7 @@ def _decide(total: float):
             rows = []
             for name, n, arcs in zip(batch["run"], batch["n"], batch["arcs"]):
                 best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * n
-                for i, j, _, p in _lattice(arcs, total):
+                for i, j, _, p in _lattice(_counted(arcs, known and known.value), total):
                     if best[i][0] + p > best[j][0]:
                         best[j] = (best[i][0] + p, i)
                 spans, j = [], n
@@ -204,10 +239,8 @@ def _decide(total: float):
     return run
 
 
-def unpack(df: DataFrame, owner: str, cell: str, rounds: int = ROUNDS) -> DataFrame:
+def unpack(df: DataFrame, owner: str, cell: str) -> DataFrame:
     """``(owner, pos, value)``: the values of each cell, ``pos`` from 1."""
-    from reelmill.session import scratch_table
-
     kind = df.schema[owner].dataType.simpleString()
     cells = df.select(F.col(f"`{owner}`").alias("owner"), F.col(f"`{cell}`").alias("cell")).where("cell is not null").distinct()
     segs = cells.mapInPandas(_tokenise, f"owner {kind}, cell string, seg int, parts array<string>")
@@ -215,26 +248,43 @@ def unpack(df: DataFrame, owner: str, cell: str, rounds: int = ROUNDS) -> DataFr
     segs = scratch_table(segs.select("owner", F.md5("cell").alias("cell"), "seg", "parts", F.when(F.size("parts") > 1, run).alias("run"), F.when(F.size("parts") == 1, F.lower(F.col("parts")[0])).alias("single")), "segments")
     fixed = segs.where("single is not null").groupBy(F.col("single").alias("value")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     lowered = F.transform("parts", lambda x: F.lower(x))
-    runs = segs.where("run is not null").groupBy("run").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.first(lowered).alias("parts"))
-    arcs = scratch_table(runs.mapInPandas(_arcs, "run string, weight double, n int, i int, j int, value string"), "arcs")
-    arcs = arcs.unionByName(scratch_table(_long_arcs(arcs, runs, fixed), "long-arcs"))
-    sums = arcs.where("j = i + 1").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0] + segs.where("single is not null").count()
-    total = max(1.0, float(sums))
-    joined = arcs.groupBy("value").agg(F.sum(F.when(F.col("j") == F.col("i") + 1, F.col("weight")).otherwise(F.col("weight") / 2)).alias("c"), F.min(F.col("j") > F.col("i") + 1).alias("join"))
-    freq = fixed.withColumn("join", F.lit(False)).unionByName(joined).groupBy("value").agg(F.sum("c").alias("c"))
-
-    def lattices(freq: DataFrame) -> DataFrame:
-        held = arcs.join(freq, "value", "left")
-        return held.groupBy("run").agg(F.first("weight").alias("weight"), F.first("n").alias("n"), F.collect_list(F.struct("i", "j", "value", "c")).alias("arcs"))
-
-    joins = joined.where("join").select("value", F.lit(1.0).alias("less"))
-    for _ in range(rounds):
-        seen = lattices(freq).select("weight", "n", "arcs").mapInPandas(_expect(total), "value string, c double").groupBy("value").agg(F.sum("c").alias("c"))
-        seen = seen.join(joins, "value", "left").select("value", F.greatest(F.col("c") - F.coalesce("less", F.lit(0.0)), F.lit(0.0)).alias("c"))
-        freq = scratch_table(fixed.unionByName(seen).groupBy("value").agg(F.sum("c").alias("c")).where("c > 0"), "frequencies")
-    decided = lattices(freq).select("run", "n", "arcs").mapInPandas(_decide(total), "run string, spans array<struct<a:int,b:int>>")
-    atoms = F.filter("parts", lambda x, i: i % 2 == 0)
+    runs = scratch_table(segs.where("run is not null").groupBy("run").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.first(lowered).alias("parts")), "distinct-runs")
+    size = (F.size("parts") + 1) / 2
+    atoms = runs.select("run", "weight", F.posexplode(F.filter("parts", lambda x, i: i % 2 == 0)).alias("i", "value"))
+    fixed = scratch_table(fixed, "fixed")
+    counted_atoms = atoms.groupBy("value").agg(F.sum("weight").alias("c"))
+    joins = scratch_table(_joins(runs, fixed, counted_atoms), "all-joins")
+    arcs = atoms.select("run", "i", (F.col("i") + 1).alias("j"), "value").unionByName(joins)
+    lattices = arcs.groupBy("run").agg(F.collect_list(F.struct("i", "j", "value")).alias("arcs"))
+    lattices = scratch_table(runs.select("run", "weight", size.cast("int").alias("n")).join(lattices, "run"), "lattices")
+    total = max(1.0, float(atoms.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0] + segs.where("single is not null").count()))
+    halves = joins.join(runs.select("run", "weight"), "run").groupBy("value").agg((F.sum("weight") / 2).alias("c"))
+    freq = scratch_table(fixed.unionByName(counted_atoms).unionByName(halves).groupBy("value").agg(F.sum("c").alias("c")), "frequencies")
+    never_atom = joins.select("value").distinct().join(counted_atoms, "value", "left_anti").select("value", F.lit(1.0).alias("less"))
+    never_atom = scratch_table(never_atom, "only-joined")
+
+    def counted(freq: DataFrame):
+        """The lattices with their values' counts beside them: broadcast if there are few values, else joined."""
+        held = freq.limit(MAX_BROADCAST + 1).toPandas()
+        if len(held) <= MAX_BROADCAST:
+            return lattices, df.sparkSession.sparkContext.broadcast(dict(zip(held["value"], held["c"])))
+        named = lattices.select("run", "weight", "n", F.inline("arcs")).join(freq, "value", "left")
+        return named.groupBy("run").agg(F.first("weight").alias("weight"), F.first("n").alias("n"), F.collect_list(F.struct("i", "j", "value", "c")).alias("arcs")), None
+
+    for _ in range(MOST_ROUNDS):
+        rows, known = counted(freq)
+        seen = rows.select("weight", "n", "arcs").mapInPandas(_expect(total, known), "value string, c double").groupBy("value").agg(F.sum("c").alias("c"))
+        seen = seen.join(never_atom, "value", "left").select("value", F.greatest(F.col("c") - F.coalesce("less", F.lit(0.0)), F.lit(0.0)).alias("c"))
+        was, freq = freq, scratch_table(fixed.unionByName(seen).groupBy("value").agg(F.sum("c").alias("c")).where("c > 0"), "frequencies")
+        if not runs.isEmpty():
+            both = freq.join(was.withColumnRenamed("c", "was"), "value", "full")
+            moved = both.agg(F.sum(F.abs(F.coalesce("c", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+            if moved > SETTLED * total:
+                continue
+        break
+    rows, known = counted(freq)
+    decided = rows.select("run", "n", "arcs").mapInPandas(_decide(total, known), "run string, spans array<struct<a:int,b:int>>")
     whole = F.transform("spans", lambda s: F.array_join(F.slice("parts", 2 * s["a"] + 1, 2 * (s["b"] - s["a"]) - 1), ""))
-    pieces = segs.join(decided, "run", "left").select("owner", "cell", "seg", F.posexplode(F.coalesce(whole, atoms)).alias("k", "value"))
+    pieces = segs.join(decided, "run", "left").select("owner", "cell", "seg", F.posexplode(F.coalesce(whole, F.filter("parts", lambda x, i: i % 2 == 0))).alias("k", "value"))
     line = Window.partitionBy("owner", "cell").orderBy("seg", "k")
     return pieces.select("owner", F.row_number().over(line).cast("bigint").alias("pos"), F.trim("value").alias("value"))

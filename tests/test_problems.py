@@ -248,6 +248,22 @@ def test_long_value_that_stands_whole_elsewhere_is_joined(spark):
     assert listed == [[long, "Drama"], [long, "Drama"], ["Comedy", long.upper(), "Heist"], [other, "Drama"], ["Heist", other, "Comedy"], ["Drama", "Comedy", "Heist", "Western", "Drama", "Comedy"], ["Swords", "Sorcery", "Dragons", "Drama"], ["Comedy", "P/Q/R/S"], ["P/Q/R/S", "Heist"]]
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 3])
+@pytest.mark.parametrize("step", [6, 2])
+def test_values_of_many_atoms_need_support_only(spark, monkeypatch, broadcast, step):
+    monkeypatch.setattr(unpack, "MAX_BROADCAST", broadcast)
+    monkeypatch.setattr(unpack, "STEP", step)
+    long, longer = "Lock, Stock, and Two, Smoking", "/".join("abcdefghij")
+    cells = [long, f"{long}; Drama", f"Heist; {long}", f"Drama|{longer}", f"{longer}|Heist", longer, "Drama; Comedy; Heist; Western; Drama; Comedy"]
+    rows = [(i, c) for i, c in enumerate(cells)] + [(100 + i, c) for i, c in enumerate(cells[:6] * 4)] + [(1000 + i, x) for i, x in enumerate(["Drama", "Comedy", "Heist", "Western"] * 10)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    got = {}
+    for owner, pos, value in unpack.unpack(df, "id", "g").collect():
+        got.setdefault(owner, {})[pos] = value
+    listed = [[got[i][p] for p in range(1, len(got[i]) + 1)] for i in range(len(cells))]
+    assert listed == [[long], [long, "Drama"], ["Heist", long], ["Drama", longer], [longer, "Heist"], [longer], ["Drama", "Comedy", "Heist", "Western", "Drama", "Comedy"]]
+
+
 def plain_reason(line):
     import re
 
