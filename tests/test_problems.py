@@ -303,6 +303,20 @@ def test_loaded_and_rejected(spark):
     assert rejects.rejected(df.where("false")).count() == 0
 
 
+def test_clean_lines_are_loaded_as_the_search_would(spark):
+    rnd = random.Random(5)
+    keys = ["tt1", "a b", " tt2", "x\u00a0", "", "\\N", "a\\b", '"q"', "é"]
+    ratings = ["5", "5.5", "10", "10.0", "10.1", "0.9", "1.", "01", "\\N", " 7", "7\n", "1e1", "9.99999999999999999"]
+    votes = ["0", "007", "999999999", "2147483647", "2147483648", "\\N", "-1", "1.0", "5\n", '"5"']
+    lines = ["\t".join(rnd.choice(x) for x in (keys, ratings, votes)[: rnd.choice([3, 3, 3, 2])]) for _ in range(1500)] + [None]
+    df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(lines)], "line_id long, raw_line string, line int")
+    pattern = rejects.RATINGS.pattern()
+    want = {i: rejects.parse(x, rejects.RATINGS, pattern) for i, x in enumerate(lines)}
+    rows = rejects.parse_lines(df, "line_id", "raw_line", rejects.RATINGS).collect()
+    assert len(rows) == len(lines) and all((list(r)[1:4], r["reason"]) == want[r["line_id"]][:2] for r in rows)
+    assert {r[0]: r[1] for r in rejects.rejected(df).collect()} == {i: w[1] for i, w in want.items() if w[1]}
+
+
 def test_edits_explain_the_fault():
     assert rejects.cheapest_edits('""1250"', 1) in ([("delete quote", k)] for k in (0, 1)) or len(rejects.cheapest_edits('""1250"', 1)) == 1
     assert rejects.cheapest_edits("a\tb", 3) == [("insert delimiter", 3)]
