@@ -72,12 +72,27 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("load", "yyyy-MM-dd").alias("ingest_date"), "column_name", "n_rows", "n_null", "n_distinct", "top_count", "n_negative", "n_forms")
 
 
+RULES = [
+    profile.Constraint("control number", "control_id", "control_id rlike '^[A-Z]{3}-[0-9]{2}$'"),
+    profile.Constraint("severity", "severity", "severity in ('critical', 'major', 'minor', 'info')"),
+    profile.Constraint("threshold is a share", "threshold", "threshold between 0 and 1"),
+    profile.Constraint("anomalies are checked rows", "anomalies_before", "anomalies_before between 0 and checked_before"),
+    profile.Constraint("percentage", "pct_before", "pct_before between 0 and 100"),
+    profile.Constraint("filled", "verdict", "verdict is not null and trim(verdict) <> ''"),
+]
+
+
+def p4_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break a declared rule, per load; counted in the scan that makes the state."""
+    held = profile.sketches(table(spark, sf_dir, "avant_apres"), "ingest_date", sorted({r.column for r in RULES}), RULES)
+    out = profile.broken_constraints(held)
+    return out.select(F.date_format("load", "yyyy-MM-dd").alias("ingest_date"), "column_name", F.col("constraint").alias("rule_name"), "checked_rows", "broken_rows")
+
+
 def p4_control_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics outside the control limits of the loads before; no SQL."""
-    df = table(spark, sf_dir, "avant_apres")
-    items = scratch_table(profile.expand(profile.state(df, "ingest_date", [c for c in df.columns if c != "run_id"])), "items")
-    out = profile.control_limits(items)
-    return out.withColumn("load", F.date_format("load", "yyyy-MM-dd")).withColumnRenamed("load", "ingest_date")
+    """Metrics outside the control limits of the loads before."""
+    out = profile.control_limits(table(spark, sf_dir, "avant_apres"), "ingest_date", ("run_id",))
+    return out.select(F.date_format("load", "yyyy-MM-dd").alias("ingest_date"), "column_name", "metric", *[F.round(c, 6).alias(c) for c in ("value", "centre", "spread")])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +108,7 @@ def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.loaded(table(spark, sf_dir, "raw_ratings")).select("line_id", "tconst", "averageRating", F.col("numVotes").cast("bigint").alias("numVotes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cast, p1_companies, p2_found, p3_found, p3_values, p4_found, p4_profile, p4_control_limits, p6_found, p7_found, p7_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cast, p1_companies, p2_found, p3_found, p3_values, p4_found, p4_profile, p4_constraints, p4_control_limits, p6_found, p7_found, p7_loaded)}
 
 
 def _links() -> str:
@@ -173,7 +188,33 @@ judged AS (SELECT line_id, vs, CASE
   WHEN vs[3] <> '\\N' AND NOT coalesce(regexp_full_match(vs[3], '[0-9]+') AND try_cast(vs[3] AS HUGEINT) <= 2147483647, false) THEN 'votes' END AS reason FROM bare)
 """
 
+def _control_sql() -> str:
+    """Each metric with mean and deviation of the loads before."""
+    parts = []
+    for c in (*_TEXTS, *_NUMBERS):
+        parts.append(f"SELECT ingest_date, '{c}' AS column_name, 'null_share' AS metric, 1 - count({c}) / count(*)::DOUBLE AS value FROM avant_apres WHERE ingest_date IS NOT NULL GROUP BY 1")
+        if c in _NUMBERS:
+            parts.append(f"SELECT ingest_date, '{c}', 'negative_share', count(*) FILTER (WHERE {c} < 0) / count({c})::DOUBLE FROM avant_apres WHERE ingest_date IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (WHERE {c} < 0) > 0")
+            parts.append(f"SELECT ingest_date, '{c}', 'log_median', ln(quantile_disc(abs(CAST({c} AS DOUBLE)), 0.5)) FROM avant_apres WHERE ingest_date IS NOT NULL AND {c} <> 0 AND NOT isnan(CAST({c} AS DOUBLE)) GROUP BY 1")
+    return f"""
+WITH m AS ({" UNION ALL ".join(parts)}),
+w AS (SELECT *, count(value) OVER p AS history, avg(value) OVER p AS centre, greatest(stddev_pop(value) OVER p, 0.01) AS spread FROM m
+  WINDOW p AS (PARTITION BY column_name, metric ORDER BY ingest_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT strftime(ingest_date, '%Y-%m-%d') AS ingest_date, column_name, metric, round(value, 6) AS value, round(centre, 6) AS centre, round(spread, 6) AS spread FROM w WHERE history >= 3 AND abs(value - centre) > 3 * spread"""
+
+
+_RULES_SQL = {
+    "control number": "NOT regexp_full_match(control_id, '[A-Z]{3}-[0-9]{2}')",
+    "severity": "severity NOT IN ('critical', 'major', 'minor', 'info')",
+    "threshold is a share": "threshold NOT BETWEEN 0 AND 1",
+    "anomalies are checked rows": "anomalies_before NOT BETWEEN 0 AND checked_before",
+    "percentage": "pct_before NOT BETWEEN 0 AND 100",
+    "filled": "verdict IS NULL OR trim(verdict) = ''",
+}
+
 SQL = {
+    "p4_constraints": " UNION ALL ".join(f"SELECT strftime(ingest_date, '%Y-%m-%d') AS ingest_date, '{r.column}' AS column_name, '{r.name}' AS rule_name, count(*) AS checked_rows, count(*) FILTER (WHERE {_RULES_SQL[r.name]}) AS broken_rows FROM avant_apres WHERE ingest_date IS NOT NULL GROUP BY 1" for r in RULES),
+    "p4_control_limits": _control_sql(),
     "p1_found": _links(),
     "p1_cast": "SELECT movie_id, CAST(i - 1 AS BIGINT) AS cast_index, e.credit_id AS credit_id, CAST(e.id AS BIGINT) AS person_id, e.character AS character, CAST(e.\"order\" AS BIGINT) AS cast_order FROM (SELECT movie_id, unnest(payload.credits.\"cast\") AS e, generate_subscripts(payload.credits.\"cast\", 1) AS i FROM raw_movies) WHERE e IS NOT NULL",
     "p1_companies": "SELECT movie_id, CAST(i - 1 AS BIGINT) AS company_index, CAST(e.id AS BIGINT) AS company_id, e.name AS name, e.origin_country AS origin_country FROM (SELECT movie_id, unnest(payload.production_companies) AS e, generate_subscripts(payload.production_companies, 1) AS i FROM raw_movies) WHERE e IS NOT NULL",

@@ -190,6 +190,23 @@ def test_profile_departures(spark):
     assert a == sorted(map(str, profile.state(df, "day").collect()))
 
 
+def test_merged_sketches_give_the_same_tests(spark):
+    rnd = random.Random(6)
+    rows = [(day, rnd.choice(["aa", "b1", None, f"x{rnd.randrange(10**6)}"]), rnd.choice([None, float("nan"), 0.0, -2.0, rnd.gauss(0, 10**day)]), i) for day in range(1, 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "day int, code string, size double, item int")
+    rules = [profile.Constraint("short", "code", "length(code) < 4")]
+    halves = [profile.sketches(df.where(f"item % 2 = {k}"), "day", None, rules) for k in range(2)]
+    merged, whole = profile.merge_sketches(*halves).cache(), profile.sketches(df, "day", None, rules)
+    plain = lambda d: sorted(map(tuple, d.select("load", "column_name", "all_rows", "filled_rows", "negative_rows").collect()))
+    assert plain(merged) == plain(whole)
+    assert sorted(map(tuple, profile.broken_constraints(merged).collect())) == sorted((d, "code", "short", 400, sum(1 for r in rows if r[0] == d and r[1] and len(r[1]) >= 4)) for d in range(1, 5))
+    items, middles = profile.exact_counts(df, "day", merged)
+    want = {(r["load"], r["column_name"]): r["median"] for r in profile.medians(profile.expand(profile.state(df, "day"))).collect()}
+    assert {(r["load"], r["column_name"]): r["median"] for r in middles.collect()} == want
+    moved = lambda d: sorted((r["load"], r["column_name"], r["kind"], str(r["item"])) for r in d.collect())
+    assert moved(profile.departures(df, "day", ("item",))) == moved(profile.drift(profile.expand(profile.state(df, "day", ["code", "size"]))))
+
+
 @pytest.mark.parametrize(("was", "now", "departs"), [(1.0, 3.0, True), (2.0, 6.0, True), (4.0, 12.0, True), (42.0, -14.0, True), (0.1, 0.3, True), (1000.0, 2999.0, False), (1.0, 2.9984, False)])
 def test_factor_of_medians_is_exact(spark, was, now, departs):
     # half of the numbers lie on either side, so only the middle one moves
@@ -197,6 +214,7 @@ def test_factor_of_medians_is_exact(spark, was, now, departs):
     df = spark.createDataFrame([(day, x) for day, x in rows for _ in range(5)], "day int, x double")
     found = profile.drift(profile.expand(profile.state(df, "day")), (profile.Check("size", 3.0),))
     assert [r["column_name"] for r in found.collect()] == (["x"] if departs else [])
+    assert [r["column_name"] for r in profile.departures(df, "day", (), (profile.Check("size", 3.0),)).collect()] == (["x"] if departs else [])
 
 
 def test_medians_against_sorting(spark):
