@@ -40,6 +40,6 @@ def amount_or_null(number: Column, least: int) -> Column:
     return F.when(number >= least, number)
 
 
-def code(text: Column, length: int = 2) -> Column:
+def capitals(text: Column, length: int = 2) -> Column:
     """A code of ``length`` capitals; null where blank."""
     return F.nullif(F.substring(F.upper(F.trim(text)), 1, length), F.lit(""))

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Tables = dict[str, DataFrame]
@@ -42,6 +42,8 @@ class Branch:
     table: str
     anomaly: str
     population: str = "true"
+    #: what the evidence shows of a failing row
+    observed: str = "cast(null as string)"
 
 
 @dataclass(frozen=True)
@@ -90,17 +92,17 @@ def results(tables: Tables, controls: Sequence[Control]) -> DataFrame:
 
 
 def anomalies(tables: Tables, controls: Sequence[Control], keys: dict[str, str]) -> DataFrame:
-    """``(control_id, table_name, record_key)``: the evidence; ``keys`` holds each table's key as a Spark SQL text."""
+    """``(control_id, table_name, record_key, observed_value)``: the evidence; ``keys`` holds each table's key as a Spark SQL text."""
     parts = None
     for table, held in _local(controls).items():
         if table not in tables:
             continue
-        failing = F.array(*[F.when(F.expr(f"coalesce(({b.population}) and ({b.anomaly}), false)"), F.lit(c.control_id)) for c, b in held])
-        one = tables[table].select(F.explode(F.array_compact(failing)).alias("control_id"), F.lit(table).alias("table_name"), F.expr(keys[table]).cast("string").alias("record_key"))
+        failing = F.array(*[F.when(F.expr(f"coalesce(({b.population}) and ({b.anomaly}), false)"), F.struct(F.lit(c.control_id).alias("control_id"), F.expr(b.observed).cast("string").alias("observed_value"))) for c, b in held])
+        one = tables[table].select(F.inline(F.array_compact(failing)), F.lit(table).alias("table_name"), F.expr(keys[table]).cast("string").alias("record_key")).select("control_id", "table_name", "record_key", "observed_value")
         parts = one if parts is None else parts.unionByName(one)
     for c in controls:
         if c.relational is not None:
-            one = c.relational(tables)[1].select(F.lit(c.control_id).alias("control_id"), F.lit(None).cast("string").alias("table_name"), F.col("record_key").cast("string").alias("record_key"))
+            one = c.relational(tables)[1].select(F.lit(c.control_id).alias("control_id"), F.lit(None).cast("string").alias("table_name"), F.col("record_key").cast("string").alias("record_key"), F.lit(None).cast("string").alias("observed_value"))
             parts = one if parts is None else parts.unionByName(one)
     return parts
 
@@ -111,7 +113,8 @@ def verdicts(before: DataFrame, after: DataFrame, controls: Sequence[Control]) -
     meta = spark.createDataFrame([(c.control_id, c.dimension, c.severity, c.treatment, SEVERITY_WEIGHT[c.severity]) for c in controls], "control_id string, dimension string, severity string, treatment string, weight int")
     b = before.select("control_id", F.col("checked_rows").alias("checked_before"), F.col("anomaly_rows").alias("anomalies_before"), F.col("anomaly_rate").alias("rate_before"))
     a = after.select("control_id", F.col("checked_rows").alias("checked_after"), F.col("anomaly_rows").alias("anomalies_after"), F.col("anomaly_rate").alias("rate_after"), F.col("passed").alias("passed_after"))
-    j = F.broadcast(meta).join(b, "control_id").join(a, "control_id", "left")
+    percent = lambda c: F.round(100 * F.col(c), 2)
+    j = F.broadcast(meta).join(b, "control_id").join(a, "control_id", "left").withColumns({"pct_before": percent("rate_before"), "pct_after": percent("rate_after")})
     found_after = F.coalesce("anomalies_after", F.lit(0))
     verdict = (
         F.when((F.col("checked_before") == 0) & (F.coalesce("checked_after", F.lit(0)) == 0), "not evaluable")
@@ -120,12 +123,26 @@ def verdicts(before: DataFrame, after: DataFrame, controls: Sequence[Control]) -
         .when((F.col("treatment") == "keep") | F.col("passed_after"), "accepted")
         .otherwise("to do")
     )
-    return j.withColumn("priority", F.round(F.col("weight") * 100 * F.coalesce("rate_before", F.lit(0.0)), 2)).withColumn("verdict", verdict)
+    return j.withColumn("priority", F.round(F.col("weight") * 100 * F.coalesce("rate_before", F.lit(0.0)).cast("decimal(9,6)"), 2)).withColumn("verdict", verdict)
 
 
 def dimension_scores(measured: DataFrame) -> DataFrame:
-    """``(phase, dimension, n_controls, score)`` of rows (phase, dimension, anomaly_rate), with a row of all dimensions (null) per phase."""
-    return measured.groupingSets([["phase", "dimension"], ["phase"]], "phase", "dimension").agg(F.count(F.lit(1)).alias("n_controls"), F.round(100 * F.avg(1 - F.col("anomaly_rate")), 2).alias("score"))
+    """``(phase, dimension, controls, controls_passed, anomalies, score)`` of rows (phase, dimension, anomaly_rows, anomaly_rate, passed), with a row of all dimensions (null) per phase.
+
+    ``controls`` counts those that could be evaluated; a rate that is null isn't averaged.
+    """
+    sets = measured.groupingSets([["phase", "dimension"], ["phase"]], "phase", "dimension")
+    return sets.agg(F.count("passed").alias("controls"), F.count_if("passed").alias("controls_passed"), F.sum("anomaly_rows").alias("anomalies"), F.round(100 * F.avg(1 - F.col("anomaly_rate")), 2).alias("score"))
+
+
+def matrix(spark: SparkSession, controls: Sequence[Control]) -> DataFrame:
+    """The controls as a table, one row each; it replaces the stored one as a whole, so that controls no longer listed are gone."""
+    held = []
+    for c in controls:
+        tables = sorted({b.table for b in c.branches})
+        held.append((c.control_id, c.dimension, ", ".join(tables), " or ".join(sorted({b.anomaly for b in c.branches})), c.severity, float(c.threshold), c.treatment))
+    rows = spark.createDataFrame(held, "control_id string, dimension string, table_name string, rule string, severity string, threshold double, treatment string")
+    return rows.withColumn("updated_at", F.current_timestamp())
 
 
 # --- cleaning -------------------------------------------------------------------------------------------------------

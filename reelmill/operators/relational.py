@@ -11,24 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in ``order``; null keys form a group of their own.
+def _numbered(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], name: str) -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
-    Catalyst turns the rank filter into a group limit below the shuffle, so a hot key sends one row per task.
-    """
-    line = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(line)).where("__rn = 1").drop("__rn")
 
+def leading(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1, number: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``, numbered if ``number`` names a column; null keys form a group of their own.
 
-def repeats_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """All rows but the first of each key."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(line)).where("__rn > 1").drop("__rn")
+    Catalyst turns the filter into a group limit below the shuffle, so a hot key sends ``n`` rows per task.
+    """
+    out = _numbered(df, keys, order, number or "__at").where(F.col(number or "__at") <= n)
+    return out if number else out.drop("__at")
 
 
-def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rn") -> DataFrame:
-    line = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(line)).where(F.col(rank) <= n)
+def trailing(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """What :func:`leading` leaves: all rows but the first of each key."""
+    return _numbered(df, keys, order, "__at").where("__at > 1").drop("__at")
 
 
 def merge_upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from reelmill import schemas
 from reelmill.operators.controls import JOURNAL, SCANS, Branch, Constraint, Control, Fix, Tables, close_journal, fix, removed
-from reelmill.operators.relational import first_per, missing_any, repeats_per
+from reelmill.operators.relational import leading, missing_any, trailing
 from reelmill.plans.mart import LINKS, REFERENCES
 from reelmill.session import scratch_table
 
 #: Each table's record key as text.
 KEYS = {name: "concat_ws('-', " + ", ".join(f"cast({k} as string)" for k in keys) + ")" for name, (keys, _) in schemas.MART.items()}
 
-# Domains and patterns of the source.
+# Domains and patterns of the source, and the severities, thresholds and treatments in controls().
 STATUSES = ("Rumored", "Planned", "In Production", "Post Production", "Released", "Canceled")
-DEPARTMENTS = ("Acting", "Art", "Camera", "Costume & Make-Up", "Crew", "Directing", "Editing", "Lighting", "Production", "Sound", "Visual Effects", "Writing")
+DEPARTMENTS = ("Acting", "Directing", "Writing", "Production", "Camera", "Editing", "Sound", "Art", "Costume & Make-Up", "Visual Effects", "Lighting", "Crew")
 TITLE_KEY = r"^tt[0-9]{7,}\\z"
 HOMEPAGE = r"^https?://\\S+\\z"
 IMAGE = r"^/[A-Za-z0-9_-]+\\.(jpg|jpeg|png|svg)\\z"
@@ -84,7 +84,7 @@ def _cast_order():
 def _repeated(table: str):
     def run(t: Tables):
         keys, order = (CAST_GROUP, _cast_order()) if table == "movie_cast" else (CREW_GROUP, [F.col("credit_id")])
-        return _counts(t[table]), repeats_per(t[table], keys, order).select(F.col("credit_id").alias("record_key"))
+        return _counts(t[table]), trailing(t[table], keys, order).select(F.col("credit_id").alias("record_key"))
 
     return run
 
@@ -128,9 +128,9 @@ def _broken_links(t: Tables):
     return _counts(*[t[x] for x in LINKS]), found
 
 
-def _missing(table: str, column: str, parent: str, key: str):
+def _missing(table: str, column: str, parent: str, key: str, filled: str = "{c} is not null"):
     def run(t: Tables):
-        rows = t[table].where(F.trim(F.col(column).cast("string")) != "")
+        rows = t[table].where(filled.replace("{c}", column))
         return _counts(rows), rows.join(t[parent].select(F.col(key).alias("__p")).distinct(), F.col(column) == F.col("__p"), "left_anti").select(F.expr(KEYS[table]).alias("record_key"))
 
     return run
@@ -155,11 +155,11 @@ def controls(as_of: date) -> list[Control]:
     m = "movies"
 
     def branches(*targets: tuple[str, str, str]) -> tuple[Branch, ...]:
-        return tuple(Branch(t, *_of_column(c, a)) for t, c, a in targets)
+        return tuple(Branch(t, *_of_column(c, a), observed=f"concat('{c} = ', cast({c} as string))") for t, c, a in targets)
 
     bad = lambda p: "not {c} rlike '" + p + "'"
     money = "coalesce(budget, 1000) < 1000 or coalesce(revenue, 1000) < 1000"
-    hygiene = tuple(Branch(t, f"trim({c}) = '' or {c} <> trim({c})", f"{c} is not null") for t in schemas.MART for c in text_columns(t))
+    hygiene = tuple(Branch(t, f"trim({c}) = '' or {c} <> trim({c})", f"{c} is not null", f"concat('{c} = ', {c})") for t in schemas.MART for c in text_columns(t))
     return [
         _null("COM-01", "completeness", "major", 0.05, "keep", m, "imdb_id is null"),
         _null("COM-02", "completeness", "major", 0.05, "keep", m, "release_date is null"),
@@ -209,7 +209,7 @@ def controls(as_of: date) -> list[Control]:
         Control("INT-03", "integrity", "minor", 0, "delete", relational=lambda t: _orphans(t, ("genres", "collections", "production_companies", "countries", "languages"))),
         Control("INT-04", "integrity", "minor", 0, "delete", relational=lambda t: _orphans(t, ("people",))),
         Control("INT-05", "integrity", "info", 1, "keep", relational=_missing(m, "original_language", "languages", "iso_639_1")),
-        Control("INT-06", "integrity", "info", 1, "keep", relational=_missing("production_companies", "origin_country", "countries", "iso_3166_1")),
+        Control("INT-06", "integrity", "info", 1, "keep", relational=_missing("production_companies", "origin_country", "countries", "iso_3166_1", "trim({c}) <> ''")),
     ]
 
 
@@ -286,7 +286,7 @@ def clean(mart: Tables, as_of: date, staged: Tables | None = None) -> tuple[Tabl
     at_once(fix_rows, [name for name in schemas.MART if name != "movies"])
     films = fix(mart["movies"], first["movies"])
     # a key held by several films stays with the one of most votes
-    owner = first_per(films.where("imdb_id is not null").select("imdb_id", "id", "vote_count"), ["imdb_id"], [F.coalesce("vote_count", F.lit(0)).desc(), F.col("id").desc()])
+    owner = leading(films.where("imdb_id is not null").select("imdb_id", "id", "vote_count"), ["imdb_id"], [F.coalesce("vote_count", F.lit(0)).desc(), F.col("id").desc()])
     films = films.join(owner.select(F.col("imdb_id").alias("__key"), F.col("id").alias("__owner")), F.col("imdb_id") == F.col("__key"), "left")
     films = fix(films, [Fix("UNI-02", "null", "imdb_id", "null", "imdb_id is not null and __owner <> id")]).drop("__key", "__owner")
     known = out["collections"].select(F.col("id").alias("__c"))
@@ -297,16 +297,20 @@ def clean(mart: Tables, as_of: date, staged: Tables | None = None) -> tuple[Tabl
     def take(name: str, bad: DataFrame, control: str) -> None:
         keys = list(schemas.MART[name][0])
         journal.append(removed(bad, control, name, KEYS[name]))
-        out[name] = scratch_table(out[name].join(bad.select(*keys), keys, "left_anti").select(mart[name].columns), f"kept-{name}")
+        gone = bad.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))  # a code that was blank is null by now
+        out[name] = scratch_table(out[name].join(gone, same, "left_anti").select(mart[name].columns), f"kept-{name}")
 
     def clean_links(name: str) -> None:
         if staged is not None:
             tables = {name: out[name], "staged:movies": staged["movies"], f"staged:{name}": staged[name]}
             take(name, _stale_links(tables, name)[1], "COH-09")
         if name == "movie_cast":
-            take(name, repeats_per(out[name], CAST_GROUP, _cast_order()), "UNI-04")
+            take(name, trailing(out[name], CAST_GROUP, _cast_order()), "UNI-04")
         if name == "movie_crew":
-            take(name, repeats_per(out[name], CREW_GROUP, [F.col("credit_id")]), "UNI-05")
+            take(name, trailing(out[name], CREW_GROUP, [F.col("credit_id")]), "UNI-05")
         take(name, missing_any(out[name], [(c, out[p], k) for c, p, k in parents(name)]), "INT-01")
 
     def drop_unused(reference) -> None:
@@ -335,9 +339,10 @@ def target_constraints(as_of: date) -> list[Constraint]:
     by_id = {c.control_id: c for c in controls(as_of)}
     for n in range(1, 16):
         for b in by_id[f"VAL-{n:02d}"].branches:
-            if n in (4, 10):
-                pair = ("vote_count", "imdb_num_votes") if n == 4 else ("budget", "revenue")
-                out += [Constraint("check", b.table, (c,), f"{c} >= {0 if n == 4 else 1000}") for c in pair]
+            if n == 4:
+                out.append(Constraint("check", b.table, ("votes",), "vote_count >= 0 and imdb_num_votes >= 0"))
+            elif n == 10:
+                out += [Constraint("check", b.table, (c,), f"{c} >= 1000") for c in ("budget", "revenue")]
             elif n == 6:
                 out.append(Constraint("check", b.table, ("release_date",), f"release_date >= date'{EARLIEST}'"))
             else:

@@ -14,6 +14,11 @@ def _rounded(c: Column, digits: int = 2) -> Column:
     return F.round(c.cast("double"), digits)
 
 
+def _mean(column: str, digits: int = 2) -> Column:
+    """A mean of decimals, exact before it is rounded half away from zero."""
+    return F.round(F.avg(F.col(column).cast("decimal(20,6)")), digits).cast("double")
+
+
 def _names_per_movie(mart: Mart) -> tuple[DataFrame, DataFrame]:
     genres = mart["movie_genres"].join(mart["genres"], F.col("genre_id") == F.col("id")).groupBy("movie_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("genres"))
     directors = mart["movie_crew"].where("job = 'Director'").join(mart["people"], F.col("person_id") == F.col("id")).groupBy("movie_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("directors"))
@@ -21,37 +26,50 @@ def _names_per_movie(mart: Mart) -> tuple[DataFrame, DataFrame]:
 
 
 def movies_enriched(mart: Mart) -> DataFrame:
-    """Films with their collection, genres and directors as text."""
+    """Films with both ratings side by side, their collection, genres and directors as text."""
     genres, directors = _names_per_movie(mart)
-    m = mart["movies"]
     c = mart["collections"].select(F.col("id").alias("__c"), F.col("name").alias("collection"))
-    out = m.join(c, F.col("collection_id") == F.col("__c"), "left").drop("__c")
-    out = out.join(genres.withColumnRenamed("movie_id", "__g"), F.col("id") == F.col("__g"), "left").drop("__g")
-    out = out.join(directors.withColumnRenamed("movie_id", "__d"), F.col("id") == F.col("__d"), "left").drop("__d")
-    return out.withColumn("release_year", F.year("release_date"))
+    out = mart["movies"].join(c, F.col("collection_id") == F.col("__c"), "left")
+    out = out.join(genres.withColumnRenamed("movie_id", "__g"), F.col("id") == F.col("__g"), "left")
+    out = out.join(directors.withColumnRenamed("movie_id", "__d"), F.col("id") == F.col("__d"), "left")
+    return out.select(
+        "id", "title", "original_title", "release_date", F.year("release_date").alias("release_year"), "runtime", "budget", "revenue", "popularity", F.col("vote_average").alias("tmdb_rating"), F.col("vote_count").alias("tmdb_votes"),
+        F.col("imdb_average_rating").alias("imdb_rating"), F.col("imdb_num_votes").alias("imdb_votes"), "rating_gap", "votes_ratio", "has_imdb_match", "imdb_id", "collection", "genres", "directors", "ingest_date", "loaded_at",
+    )
 
 
 def rating_gap_top(mart: Mart, votes: int = 50, second_votes: int = 100) -> DataFrame:
     """Films both sources rate on enough votes, the widest gap first."""
-    rated = movies_enriched(mart).where((F.col("has_imdb_match")) & (F.col("vote_count") >= votes) & (F.col("imdb_num_votes") >= second_votes))
-    return rated.select("id", "title", "release_year", "vote_average", "imdb_average_rating", "rating_gap", "vote_count", "imdb_num_votes").orderBy(F.abs("rating_gap").desc_nulls_last(), "id")
+    rated = movies_enriched(mart).where((F.col("has_imdb_match")) & (F.col("tmdb_votes") >= votes) & (F.col("imdb_votes") >= second_votes))
+    return rated.select("id", "title", "release_year", "genres", "tmdb_rating", "tmdb_votes", "imdb_rating", "imdb_votes", "rating_gap").orderBy(F.abs("rating_gap").desc_nulls_last(), "id")
+
+
+def _of_genres(mart: Mart) -> DataFrame:
+    films = mart["movies"].select(F.col("id").alias("movie_id"), "vote_average", "imdb_average_rating", "rating_gap", "has_imdb_match")
+    return mart["movie_genres"].join(films, "movie_id").join(mart["genres"].select(F.col("id").alias("genre_id"), F.col("name").alias("genre")), "genre_id")
 
 
 def genre_stats(mart: Mart) -> DataFrame:
-    j = mart["movie_genres"].join(mart["movies"].select(F.col("id").alias("movie_id"), "vote_average", "imdb_average_rating", "rating_gap", "has_imdb_match"), "movie_id").join(mart["genres"], F.col("genre_id") == F.col("id"))
-    return j.groupBy(F.col("name").alias("genre")).agg(F.count(F.lit(1)).alias("movies"), _rounded(F.avg("vote_average")).alias("avg_rating"), _rounded(F.avg("imdb_average_rating")).alias("avg_imdb"), _rounded(F.avg("rating_gap")).alias("avg_gap"), F.count_if("has_imdb_match").alias("matched"))
+    return _of_genres(mart).groupBy("genre").agg(F.count(F.lit(1)).alias("movies"), _mean("vote_average").alias("avg_tmdb_rating"), _mean("imdb_average_rating").alias("avg_imdb_rating"), _mean("rating_gap").alias("avg_rating_gap"), F.count_if("has_imdb_match").alias("with_imdb"))
+
+
+def genre_ratings(mart: Mart) -> DataFrame:
+    """The averages of :func:`genre_stats` to three digits, as the effect of a cleaning is measured on them."""
+    three = lambda c: _mean(c, 3)
+    return _of_genres(mart).groupBy("genre").agg(F.count(F.lit(1)).alias("films"), three("vote_average").alias("tmdb"), three("imdb_average_rating").alias("imdb"), three("rating_gap").alias("gap"))
 
 
 def yearly(mart: Mart) -> DataFrame:
-    return mart["movies"].where("release_date is not null").groupBy(F.year("release_date").alias("year")).agg(F.count(F.lit(1)).alias("movies"), _rounded(F.avg("vote_average")).alias("avg_rating"), _rounded(F.avg("imdb_average_rating")).alias("avg_imdb"), F.sum("budget").alias("budget"), F.sum("revenue").alias("revenue"))
+    dated = mart["movies"].where("release_date is not null").groupBy(F.year("release_date").alias("release_year"))
+    return dated.agg(F.count(F.lit(1)).alias("movies"), _mean("vote_average").alias("avg_tmdb_rating"), _mean("imdb_average_rating").alias("avg_imdb_rating"), F.sum("revenue").alias("total_revenue"), F.sum("budget").alias("total_budget"))
 
 
 def top_people(mart: Mart) -> DataFrame:
-    """Actors by the number of their films."""
-    roles = mart["movie_cast"].join(mart["movies"].select(F.col("id").alias("movie_id"), "vote_average"), "movie_id")
-    # one row per person and film before names are joined
-    per = roles.select("person_id", "movie_id", "vote_average").distinct().groupBy("person_id").agg(F.count(F.lit(1)).alias("movies"), _rounded(F.avg("vote_average")).alias("avg_rating"))
-    return mart["people"].join(per, F.col("id") == F.col("person_id")).select("id", "name", "movies", "avg_rating")
+    """Actors by the number of their films; ratings are averaged over credits."""
+    films = mart["movies"].select(F.col("id").alias("movie_id"), "vote_average", "imdb_average_rating")
+    # counted per person before names are joined
+    per = mart["movie_cast"].join(films, "movie_id").groupBy("person_id").agg(F.countDistinct("movie_id").alias("movies"), _mean("vote_average").alias("avg_tmdb_rating"), _mean("imdb_average_rating").alias("avg_imdb_rating"))
+    return mart["people"].join(per, F.col("id") == F.col("person_id")).select("id", "name", "known_for_department", "movies", "avg_tmdb_rating", "avg_imdb_rating")
 
 
 def row_counts(mart: Mart) -> DataFrame:
@@ -63,10 +81,10 @@ def row_counts(mart: Mart) -> DataFrame:
     return out
 
 
-def last_runs(runs: DataFrame) -> DataFrame:
-    """Each job's last run, its age and the share of its input that came out clean."""
+def last_runs(runs: DataFrame, now: Column | None = None) -> DataFrame:
+    """Each job's last run, its age at ``now`` and the share of its input that came out clean."""
     last = runs.groupBy("job").agg(F.max(F.struct("started_at", *[c for c in runs.columns if c not in ("job", "started_at")])).alias("r")).select("job", "r.*")
-    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.coalesce("finished_at", "started_at"))
+    age = F.unix_timestamp(F.current_timestamp() if now is None else now) - F.unix_timestamp(F.coalesce("finished_at", "started_at"))
     return last.withColumn("age_seconds", age).withColumn("clean_ratio", F.round(F.try_divide("clean_rows_out", "raw_rows_in"), 4))
 
 
@@ -76,7 +94,7 @@ def find_movies(mart: Mart, title: str, limit: int = 20) -> DataFrame:
 
 
 def list_movies(mart: Mart, limit: int = 50) -> DataFrame:
-    return movies_enriched(mart).select("id", "title", "release_date", "genres", "vote_average", "popularity").orderBy(F.col("popularity").desc_nulls_last(), "id").limit(limit)
+    return movies_enriched(mart).select("id", "title", "release_date", "genres", "tmdb_rating", "popularity").orderBy(F.col("popularity").desc_nulls_last(), "id").limit(limit)
 
 
 def movie_detail(mart: Mart, movie_id: int) -> DataFrame:
@@ -92,32 +110,32 @@ def movie_cast(mart: Mart, movie_id: int, limit: int = 10) -> DataFrame:
 
 # --- reports on an audit --------------------------------------------------------------------------------------------
 
-INDICATORS = ("movies", "with_genre_share", "avg_rating", "avg_imdb", "avg_gap", "match_share", "avg_runtime", "budget_known_share", "revenue_known_share", "people")
+# The indicators of the catalogue, in order.
+INDICATORS = ("films", "rated films", "mean rating", "mean second rating", "mean rating gap", "match coverage (%)", "films with runtime", "films with budget", "mean budget (USD)", "dated films")
 
 
 def kpis(mart: Mart) -> DataFrame:
     """``(position, indicator, value)``."""
-    has_genre = mart["movie_genres"].select("movie_id").distinct().withColumn("g", F.lit(1))
-    m = mart["movies"].join(has_genre, F.col("id") == F.col("movie_id"), "left")
     n = F.count(F.lit(1))
-    share = lambda c: F.round(100.0 * F.try_divide(c, n), 2)
-    one = m.agg(
-        n.alias("movies"), share(F.count("g")).alias("with_genre_share"), _rounded(F.avg("vote_average"), 3).alias("avg_rating"), _rounded(F.avg("imdb_average_rating"), 3).alias("avg_imdb"), _rounded(F.avg("rating_gap"), 3).alias("avg_gap"),
-        share(F.count_if("has_imdb_match")).alias("match_share"), _rounded(F.avg("runtime"), 2).alias("avg_runtime"), share(F.count("budget")).alias("budget_known_share"), share(F.count("revenue")).alias("revenue_known_share"),
+    three = lambda c: _mean(c, 3)
+    values = (
+        n, F.count("vote_average"), three("vote_average"), three("imdb_average_rating"), three("rating_gap"), F.round(100.0 * F.try_divide(F.count_if("has_imdb_match"), n), 2),
+        F.count("runtime"), F.count("budget"), F.round(F.avg("budget"), 0), F.count("release_date"),
     )
-    people = mart["people"].agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(len(INDICATORS) - 1).alias("position"), F.lit("people").alias("indicator"), "value")
-    return unpivot(one, INDICATORS[:-1], "indicator", "value").unionByName(people)
+    return unpivot(mart["movies"].agg(*[v.cast("double").alias(name) for name, v in zip(INDICATORS, values)]), INDICATORS, "indicator", "value")
 
 
 def kpi_impact(before: Mart, after: Mart) -> DataFrame:
-    a = kpis(after).select("indicator", F.col("value").alias("after"))
-    return kpis(before).withColumnRenamed("value", "before").join(a, "indicator", "left").withColumn("delta", F.round(F.col("after") - F.col("before"), 3)).orderBy("position")
+    """``(position, indicator, mart, curated, delta)``."""
+    a = kpis(after).select("indicator", F.col("value").alias("curated"))
+    return kpis(before).withColumnRenamed("value", "mart").join(a, "indicator", "left").select("position", "indicator", "mart", "curated", F.round(F.col("curated") - F.col("mart"), 3).alias("delta")).orderBy("position")
 
 
 def genre_impact(before: Mart, after: Mart) -> DataFrame:
-    a = genre_stats(after).select("genre", F.col("movies").alias("movies_after"), F.col("avg_gap").alias("gap_after"))
-    j = genre_stats(before).select("genre", "movies", "avg_gap").join(a, "genre", "left")
-    return j.withColumn("effect", F.round(F.col("gap_after") - F.col("avg_gap"), 3)).orderBy(F.abs("effect").desc_nulls_last(), "genre")
+    """Films and ratings of each genre on either side, and the effect on its rating."""
+    sides = [genre_ratings(m).select("genre", *[F.col(c).alias(f"{c}_{side}") for c in ("films", "tmdb", "gap")]) for m, side in ((before, "mart"), (after, "curated"))]
+    j = sides[0].join(sides[1], "genre", "left").withColumn("effect", F.round(F.col("tmdb_curated") - F.col("tmdb_mart"), 3))
+    return j.orderBy(F.abs(F.coalesce("effect", F.lit(0.0))).desc(), F.col("films_mart").desc(), "genre")
 
 
 def volumes(before: Mart, after: Mart) -> DataFrame:

@@ -10,18 +10,47 @@ from pyspark.sql import functions as F
 
 from reelmill.operators import controls as C
 from reelmill.operators import metrics as M
+from reelmill.operators import rejects
 from reelmill.plans import catalogue, mart, views
-from reelmill.queries.problems import table
+from reelmill.queries.problems import _LINES, table
 from reelmill.session import scratch_table, work_dir
 
 AS_OF = date(2026, 9, 20)
 
 
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second source: each title's last valid line of the ratings file, as the loader of problem 7 reads it."""
+    lines = table(spark, sf_dir, "raw_ratings")
+    valid = rejects.loaded(lines).where("tconst is not null").join(lines.select("line_id", "ingest_date"), "line_id")
+    last = valid.groupBy("tconst").agg(F.max(F.struct("ingest_date", "line_id", "averageRating", "numVotes")).alias("r"))
+    return last.select("tconst", F.col("r.averageRating").cast("decimal(3,1)").alias("imdb_average_rating"), F.col("r.numVotes").alias("imdb_num_votes"))
+
+
 def _films(spark: SparkSession, sf_dir: str) -> DataFrame:
-    films, _ = catalogue.aggregate(table(spark, sf_dir, "raw_movies"), None, None, AS_OF.isoformat())
+    films, _ = catalogue.aggregate(table(spark, sf_dir, "raw_movies"), ratings(spark, sf_dir), None, AS_OF.isoformat())
     return films
 
 
+def film_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Films joined with the second source, and what follows from both."""
+    f = _films(spark, sf_dir)
+    return f.select(F.col("id").cast("bigint").alias("id"), F.col("imdb_average_rating").cast("double").alias("imdb_rating"), F.col("imdb_num_votes").cast("bigint").alias("imdb_votes"), "has_imdb_match", F.col("rating_gap").cast("double").alias("rating_gap"), F.col("votes_ratio").cast("double").alias("votes_ratio"))
+
+
+def mart_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The people that survive: the freshest sighting of each."""
+    p = _mart(spark, sf_dir)["people"]
+    return p.select(F.col("id").cast("bigint").alias("id"), "name", F.col("gender").cast("bigint").alias("gender"), F.col("popularity").cast("double").alias("popularity"))
+
+
+def mart_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The credits that survive, one per role or job."""
+    m = _mart(spark, sf_dir)
+    cast = m["movie_cast"].select("credit_id", F.col("movie_id").cast("bigint").alias("movie_id"), F.col("person_id").cast("bigint").alias("person_id"), F.col("character").alias("part"))
+    crew = m["movie_crew"].select("credit_id", F.col("movie_id").cast("bigint").alias("movie_id"), F.col("person_id").cast("bigint").alias("person_id"), F.col("job").alias("part"))
+    return cast.unionByName(crew)
+
+
 def snapshot_films(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last usable state of every film, cleaned."""
     f = _films(spark, sf_dir)
@@ -46,7 +75,8 @@ def mart_genre_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart_top_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.top_people(_mart(spark, sf_dir)).orderBy(F.col("movies").desc(), "name", "id").limit(15)
+    """The 15 people of most films (a top list)."""
+    return views.top_people(_mart(spark, sf_dir)).orderBy(F.col("movies").desc(), "name", "id").limit(15).select("id", "name", "movies")
 
 
 def mart_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +188,7 @@ def _as_directory(spark: SparkSession, sf_dir: str, name: str) -> str:
     return path
 
 
-QUERIES = {f.__name__: f for f in (snapshot_films, message_counts, mart_counts, mart_genre_stats, mart_top_people, mart_yearly, mart_cardinalities, dq_results, dq_clean_journal, dq_verdict_priority, constraint_check, metric_latest, metric_increase, stream_tumbling)}
+QUERIES = {f.__name__: f for f in (snapshot_films, film_matches, mart_people, mart_credits, message_counts, mart_counts, mart_genre_stats, mart_top_people, mart_yearly, mart_cardinalities, dq_results, dq_clean_journal, dq_verdict_priority, constraint_check, metric_latest, metric_increase, stream_tumbling)}
 
 _USABLE = "payload.id IS NOT NULL AND trim(coalesce(payload.title, '')) <> ''"
 # films as the pipeline keeps them, but for the choice between equal moments
@@ -197,11 +227,14 @@ _LISTS = {
     "production_countries": ("payload.production_countries", "nullif(substr(upper(trim(e.iso_3166_1)), 1, 2), '')", "true"),
     "spoken_languages": ("payload.spoken_languages", "nullif(lower(substr(trim(e.iso_639_1), 1, 2)), '')", "true"),
 }
-_BASE = _LATEST + """,
-one AS (SELECT payload, row_number() OVER (PARTITION BY payload.id ORDER BY seen DESC) AS k FROM films),
-m AS (SELECT payload.id AS id, payload, try_cast(nullif(trim(payload.release_date), '') AS DATE) AS released,
+_RATED = _LINES.strip().removeprefix("WITH ") + """,
+rated AS (SELECT tconst, CAST(rating AS DECIMAL(3,1)) AS imdb_rating, imdb_votes FROM (SELECT nullif(vs[1], '\\N') AS tconst, CAST(nullif(vs[2], '\\N') AS DOUBLE) AS rating, CAST(nullif(vs[3], '\\N') AS BIGINT) AS imdb_votes,
+  row_number() OVER (PARTITION BY vs[1] ORDER BY ingest_date DESC NULLS LAST, line_id DESC) AS rn FROM judged JOIN raw_ratings USING (line_id) WHERE reason IS NULL AND vs[1] <> '\\N') WHERE rn = 1)"""
+_BASE = _LATEST + ", " + _RATED + """,
+one AS (SELECT payload, seen, row_number() OVER (PARTITION BY payload.id ORDER BY seen DESC) AS k FROM films),
+m AS (SELECT *, imdb_rating IS NOT NULL AS matched, CAST(round(rating - imdb_rating, 2) AS DECIMAL(4,2)) AS gap FROM (SELECT payload.id AS id, payload, seen, imdb_rating, imdb_votes, try_cast(nullif(trim(payload.release_date), '') AS DATE) AS released,
   CASE WHEN payload.vote_count > 0 THEN CAST(payload.vote_average AS DECIMAL(4,2)) END AS rating,
-  CASE WHEN payload.budget >= 1000 THEN payload.budget END AS budget, CASE WHEN payload.revenue >= 1000 THEN payload.revenue END AS revenue FROM one WHERE k = 1)"""
+  CASE WHEN payload.budget >= 1000 THEN payload.budget END AS budget, CASE WHEN payload.revenue >= 1000 THEN payload.revenue END AS revenue FROM one LEFT JOIN rated ON tconst = nullif(trim(payload.imdb_id), '') WHERE k = 1))"""
 for _name, (_path, _key, _label) in _LISTS.items():
     _BASE += f", l_{_name} AS (SELECT DISTINCT id AS movie_id, {_key} AS k FROM (SELECT id, unnest({_path}) AS e FROM m) WHERE {_key} IS NOT NULL)"
     _BASE += f", r_{_name} AS (SELECT {_key} AS k, max({_label}) AS label FROM (SELECT unnest({_path}) AS e FROM m) WHERE {_key} IS NOT NULL AND {_label} IS NOT NULL GROUP BY 1)"
@@ -225,13 +258,17 @@ _COUNTS = {
     "movie_spoken_languages": "SELECT count(*) FROM l_spoken_languages",
     "movie_cast": "SELECT count(DISTINCT credit_id) FROM k_cast",
     "movie_crew": "SELECT count(DISTINCT credit_id) FROM k_crew",
-    "movies_with_imdb": "SELECT 0",
+    "movies_with_imdb": "SELECT count(*) FROM m WHERE matched",
 }
 _CARDINALITY = {"movie_genres": "l_genres", "movie_production_companies": "l_production_companies", "movie_production_countries": "l_production_countries", "movie_spoken_languages": "l_spoken_languages", "movie_cast": "k_cast", "movie_crew": "k_crew"}
 
 SQL |= {
     "mart_counts": _BASE + " " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, ({q}) AS n_rows" for t, q in _COUNTS.items()),
-    "mart_yearly": _BASE + " SELECT CAST(year(released) AS INTEGER) AS year, count(*) AS movies, round(CAST(avg(rating) AS DOUBLE), 2) AS avg_rating, CAST(NULL AS DOUBLE) AS avg_imdb, CAST(sum(budget) AS BIGINT) AS budget, CAST(sum(revenue) AS BIGINT) AS revenue FROM m WHERE released IS NOT NULL GROUP BY 1",
-    "mart_genre_stats": _BASE + " SELECT label AS genre, count(*) AS movies, round(CAST(avg(rating) AS DOUBLE), 2) AS avg_rating, CAST(NULL AS DOUBLE) AS avg_imdb, CAST(NULL AS DOUBLE) AS avg_gap, CAST(0 AS BIGINT) AS matched FROM l_genres JOIN m ON movie_id = id JOIN r_genres USING (k) GROUP BY 1",
+    "mart_yearly": _BASE + " SELECT CAST(year(released) AS INTEGER) AS release_year, count(*) AS movies, CAST(round(CAST(avg(rating) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_tmdb_rating, CAST(round(CAST(avg(imdb_rating) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_imdb_rating, CAST(sum(revenue) AS BIGINT) AS total_revenue, CAST(sum(budget) AS BIGINT) AS total_budget FROM m WHERE released IS NOT NULL GROUP BY 1",
+    "mart_genre_stats": _BASE + " SELECT label AS genre, count(*) AS movies, CAST(round(CAST(avg(rating) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_tmdb_rating, CAST(round(CAST(avg(imdb_rating) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_imdb_rating, CAST(round(CAST(avg(gap) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_rating_gap, count(*) FILTER (WHERE matched) AS with_imdb FROM l_genres JOIN m ON movie_id = id JOIN r_genres USING (k) GROUP BY 1",
+    "film_matches": _BASE + " SELECT CAST(id AS BIGINT) AS id, CAST(imdb_rating AS DOUBLE) AS imdb_rating, imdb_votes, matched AS has_imdb_match, CAST(gap AS DOUBLE) AS rating_gap, CAST(CAST(round(payload.vote_count / nullif(imdb_votes, 0)::DOUBLE, 4) AS DECIMAL(10,4)) AS DOUBLE) AS votes_ratio FROM m",
+    "mart_people": _BASE + " SELECT CAST(id AS BIGINT) AS id, name, CAST(gender AS BIGINT) AS gender, CAST(TRY_CAST(popularity AS DECIMAL(10,3)) AS DOUBLE) AS popularity FROM (SELECT e.id AS id, nullif(trim(e.name), '') AS name, CASE WHEN e.gender IN (1, 2, 3) THEN e.gender END AS gender, e.popularity AS popularity, row_number() OVER (PARTITION BY e.id ORDER BY seen DESC NULLS LAST, e.popularity DESC NULLS LAST, nullif(trim(e.name), ''), e.gender IS NULL) AS rn FROM (SELECT seen, unnest(payload.credits.\"cast\") AS e FROM m UNION ALL SELECT seen, struct_pack(id := c.id, credit_id := c.credit_id, name := c.name, original_name := c.original_name, gender := c.gender, known_for_department := c.known_for_department, popularity := c.popularity, profile_path := c.profile_path, character := NULL, \"order\" := NULL) FROM (SELECT seen, unnest(payload.credits.crew) AS c FROM m)) WHERE e.id IS NOT NULL AND nullif(trim(e.name), '') IS NOT NULL) WHERE rn = 1",
+    "mart_credits": _BASE + " SELECT trim(e.credit_id) AS credit_id, CAST(movie_id AS BIGINT) AS movie_id, CAST(e.id AS BIGINT) AS person_id, part FROM (SELECT movie_id, e, nullif(trim(e.character), '') AS part, row_number() OVER (PARTITION BY movie_id, e.id, nullif(trim(e.character), '') ORDER BY e.\"order\" ASC NULLS LAST, e.credit_id) AS rn FROM c_cast) WHERE rn = 1 UNION ALL SELECT trim(e.credit_id), CAST(movie_id AS BIGINT), CAST(e.id AS BIGINT), part FROM (SELECT movie_id, e, nullif(trim(e.job), '') AS part, row_number() OVER (PARTITION BY movie_id, e.id, nullif(trim(e.job), '') ORDER BY e.credit_id) AS rn FROM c_crew) WHERE rn = 1",
+    "mart_top_people": _BASE + ", people AS (SELECT id, max(name) AS name FROM p GROUP BY 1) SELECT id, name, movies FROM (SELECT k.person_id AS id, min(q.name) AS name, count(DISTINCT k.movie_id) AS movies FROM k_cast k JOIN people q ON q.id = k.person_id GROUP BY 1) ORDER BY movies DESC, name, id LIMIT 15",
     "mart_cardinalities": _BASE + " " + " UNION ALL ".join(f"SELECT '{t}' AS relation, min(n) AS least, round(avg(n), 2) AS mean, max(n) AS most FROM (SELECT id, count(movie_id) AS n FROM m LEFT JOIN {v} ON id = movie_id GROUP BY 1)" for t, v in _CARDINALITY.items()),
 }

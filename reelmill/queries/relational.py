@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.values import amount_or_null, blank_to_null, code
+from reelmill.functions.values import amount_or_null, blank_to_null, capitals
 from reelmill.operators import relational as R
 from reelmill.queries.problems import table
 
@@ -61,17 +61,17 @@ def sentinel_to_null(customer):
 
 @query("nation", sql="SELECT n_nationkey, nullif(substr(upper(trim(n_name)), 1, 2), '') AS code FROM nation")
 def code_normalise(nation):
-    return nation.select("n_nationkey", code(F.col("n_name")).alias("code"))
+    return nation.select("n_nationkey", capitals(F.col("n_name")).alias("code"))
 
 
 @query("events", sql="SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def dedup_latest(events):
-    return R.first_per(events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
+    return R.leading(events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
 
 
 @query("lineitem", sql="SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice ASC NULLS LAST, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn = 1")
 def first_per_key(lineitem):
-    first = R.first_per(lineitem, ["l_orderkey"], [F.col("l_extendedprice").asc_nulls_last(), F.col("l_linenumber"), F.col("l_partkey")])
+    first = R.leading(lineitem, ["l_orderkey"], [F.col("l_extendedprice").asc_nulls_last(), F.col("l_linenumber"), F.col("l_partkey")])
     return first.select("l_orderkey", "l_linenumber", money(F.col("l_extendedprice")).alias("price"))
 
 
@@ -79,13 +79,13 @@ def first_per_key(lineitem):
 def freshest_union(customer, supplier):
     a = customer.select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("kind"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     b = supplier.select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    best = R.first_per(a.unionByName(b), ["nation"], [F.col("balance").desc_nulls_last(), F.col("name")])
+    best = R.leading(a.unionByName(b), ["nation"], [F.col("balance").desc_nulls_last(), F.col("name")])
     return best.withColumn("balance", money(F.col("balance")))
 
 
 @query("events", sql="SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn > 1")
 def dup_rank(events):
-    return R.repeats_per(events, ["user_id", "event_type"], [F.col("event_id")]).select("event_id")
+    return R.trailing(events, ["user_id", "event_type"], [F.col("event_id")]).select("event_id")
 
 
 @query("orders", sql="SELECT o_orderstatus, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM orders GROUP BY 1")
@@ -97,7 +97,7 @@ def share_of_total(orders):
 
 @query("part", sql="SELECT p_brand, p_partkey, CAST(rn AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 10")
 def top_n_per_group(part):
-    return R.top_per(part, ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], 10).select("p_brand", "p_partkey", big("rn").alias("rank"))
+    return R.leading(part, ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], 10, "rn").select("p_brand", "p_partkey", big("rn").alias("rank"))
 
 
 @query("customer", "orders", sql="SELECT c_custkey, n IS NOT NULL AS has_match, round(c_acctbal - avg_total, 6) AS gap, CASE WHEN n > 0 THEN round(c_acctbal / n, 8) END AS ratio FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS avg_total FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -147,9 +147,10 @@ def mark_join(part, lineitem):
     return R.with_membership(part.select("p_partkey"), "p_partkey", lineitem.where("l_quantity > 49"), "l_partkey", "bulky")
 
 
-@query("customer", "orders", sql="SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("customer", "orders", sql="SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
 def anti_exists(customer, orders):
-    return customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = orders.where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 200000))
+    return customer.join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("lineitem", "part", "supplier", sql="SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5) OR NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0)")
@@ -165,7 +166,7 @@ def anti_and(nation, customer, supplier):
 
 @query("customer", sql="SELECT c_custkey FROM customer a WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND (coalesce(b.c_acctbal, 0), b.c_custkey) > (coalesce(a.c_acctbal, 0), a.c_custkey))")
 def keep_max_per_key(customer):
-    return R.first_per(customer, ["c_nationkey", "c_mktsegment"], [F.coalesce("c_acctbal", F.lit(0)).desc(), F.col("c_custkey").desc()]).select("c_custkey")
+    return R.leading(customer, ["c_nationkey", "c_mktsegment"], [F.coalesce("c_acctbal", F.lit(0)).desc(), F.col("c_custkey").desc()]).select("c_custkey")
 
 
 @query("orders", sql="SELECT o_orderpriority, count(*) FILTER (WHERE quarter(o_orderdate) <= 2) AS n_before, count(*) FILTER (WHERE quarter(o_orderdate) > 2) AS n_after FROM orders GROUP BY 1")
@@ -231,20 +232,18 @@ def cardinality_profile(orders, lineitem):
     return per.agg(F.min("n").alias("least"), money(F.avg("n"), 4).alias("mean"), F.max("n").alias("most"))
 
 
-@query("movies", sql="SELECT lower(trim(coalesce(original_title, title))) AS name, year(release_date) AS year, count(*) AS n FROM movies WHERE release_date IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
-def group_having(movies):
-    name = F.lower(F.trim(F.coalesce("original_title", "title")))
-    return movies.where("release_date is not null").groupBy(name.alias("name"), big(F.year("release_date")).alias("year")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+@query("people_records", sql="SELECT lower(trim(coalesce(original_name, name))) AS name, year(source_fetched_at) AS year, count(*) AS n FROM people_records WHERE source_fetched_at IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def group_having(people):
+    name = F.lower(F.trim(F.coalesce("original_name", "name")))
+    return people.where("source_fetched_at is not null").groupBy(name.alias("name"), big(F.year("source_fetched_at")).alias("year")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("lineitem", "part", sql="SELECT 'quantity' AS measure, min(l_quantity) AS least, CAST(quantile_disc(l_quantity, 0.5) AS DOUBLE) AS middle, max(l_quantity) AS most FROM lineitem UNION ALL SELECT 'size', CAST(min(p_size) AS DOUBLE), CAST(quantile_disc(p_size, 0.5) AS DOUBLE), CAST(max(p_size) AS DOUBLE) FROM part")
 def percentile_profile(lineitem, part):
     def one(df: DataFrame, c: str, name: str) -> DataFrame:
-        # the discrete median from counts per value: no column is sorted or gathered as a whole
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        line = Window.partitionBy(F.lit(1))  # one row per distinct value of a coded measure
-        run = counts.withColumn("upto", F.sum("n").over(line.orderBy("v"))).withColumn("all", F.sum("n").over(line))
-        return run.agg(F.min("v").alias("least"), F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("v"))).alias("middle"), F.max("v").alias("most")).select(F.lit(name).alias("measure"), "least", "middle", "most")
+        # the aggregate merges counts per value below its shuffle: rows are neither sorted nor gathered
+        v = F.col(c).cast("double")
+        return df.agg(F.min(v).alias("least"), F.expr(f"percentile_disc(0.5) within group (order by cast({c} as double))").alias("middle"), F.max(v).alias("most")).select(F.lit(name).alias("measure"), "least", "middle", "most")
 
     return one(lineitem, "l_quantity", "quantity").unionByName(one(part, "p_size", "size"))
 

@@ -53,7 +53,7 @@ def upsert_latest(stream: DataFrame, target: str, checkpoint: str, key: str, ord
     """Keep the latest row per key of a stream in a Parquet table, merged per micro-batch with versions and a pointer."""
     import json
 
-    from reelmill.operators.relational import first_per
+    from reelmill.operators.relational import leading
 
     def pointer() -> str:
         return os.path.join(target, "current.json")
@@ -68,7 +68,7 @@ def upsert_latest(stream: DataFrame, target: str, checkpoint: str, key: str, ord
                 return  # this batch is in already
             rows = batch.unionByName(spark.read.parquet(os.path.join(target, held["version"])))
         version = f"v{number:09d}"
-        first_per(rows, [key], [F.col(order).desc_nulls_last(), F.xxhash64(*rows.columns)]).write.mode("overwrite").parquet(os.path.join(target, version))
+        leading(rows, [key], [F.col(order).desc_nulls_last(), F.xxhash64(*rows.columns)]).write.mode("overwrite").parquet(os.path.join(target, version))
         with open(pointer() + ".tmp", "w") as f:
             json.dump({"version": version, "batch": number}, f)
         os.replace(pointer() + ".tmp", pointer())

@@ -94,7 +94,7 @@ def test_jobs_end_to_end(spark, root):
     verdicts = spark.read.option("header", True).csv(str(root / "report/before_after"))
     assert verdicts.count() == 49 and verdicts.where("verdict = 'to do'").count() == 0
     stats = {r["genre"]: r for r in views.genre_stats(live).collect()}
-    assert stats["Drama"]["movies"] == 2 and stats["War"]["avg_gap"] == 1.25
+    assert stats["Drama"]["movies"] == 2 and stats["War"]["avg_rating_gap"] == 1.25
     assert views.movie_detail(live, 1).first()["directors"] == "Person 102"
     assert [r["name"] for r in views.movie_cast(live, 1).collect()] == ["Person 100", "Person 101"]
     assert [r["id"] for r in views.find_movies(live, "no v").collect()] == [3] and views.find_movies(live, "%").count() == 0
