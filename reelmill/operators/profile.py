@@ -46,6 +46,9 @@ TRACKED = 1000
 QUANTILE_SIZE = 400
 MARGIN = 0.03
 
+#: Items that are counted by an expression each; more of them are counted by a join.
+COMPILED = 500
+
 #: Totals (loads x columns x kinds) that are broadcast; beyond it they are joined by a shuffle.
 MAX_TOTALS = 500_000
 
@@ -265,17 +268,9 @@ def exact_counts(df: DataFrame, load: str, held: DataFrame, checks: Iterable[Che
     items = known.where("kind <> 'none' and n > 0")
     wanted = _candidates(held, checks)
     if wanted is not None:
-        cells = []
-        for name in names:
-            c, kind = F.col(f"`{name}`"), df.schema[name].dataType
-            text = c.cast("string") if isinstance(kind, (T.AtomicType, T.NullType)) else F.to_json(c)
-            if "value" in checks:
-                cells.append(F.struct(F.lit(name).alias("column_name"), F.lit("value").alias("kind"), text.alias("item")))
-            if "form" in checks and isinstance(kind, T.StringType):
-                cells.append(F.struct(F.lit(name).alias("column_name"), F.lit("form").alias("kind"), form(c).alias("item")))
-        if cells:
-            rows = df.where(F.col(f"`{load}`").isNotNull()).select(F.col(f"`{load}`").alias("load"), F.inline(F.array(*cells))).where("item is not null")
-            items = items.unionByName(rows.join(F.broadcast(wanted), ["column_name", "kind", "item"]).groupBy("load", "column_name", "kind", "item").agg(F.count(F.lit(1)).alias("n")))
+        few = [tuple(r) for r in wanted.limit(COMPILED + 1).collect()]
+        count = _compiled_counts(df, load, few) if len(few) <= COMPILED else _joined_counts(df, load, names, wanted)
+        items = items if count is None else items.unionByName(count)
     numeric = [name for name in names if _is_number(df.schema[name].dataType)]
     if "size" not in checks:
         return items, None
@@ -299,6 +294,35 @@ def exact_counts(df: DataFrame, load: str, held: DataFrame, checks: Iterable[Che
     return items, found
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    c = F.col(f"`{name}`")
+    return c.cast("string") if isinstance(df.schema[name].dataType, (T.AtomicType, T.NullType)) else F.to_json(c)
+
+
+def _compiled_counts(df: DataFrame, load: str, wanted: list[tuple[str, str, str]]) -> DataFrame | None:
+    """``(load, column_name, kind, item, n)`` of the items wanted, each one a count in one aggregation."""
+    if not wanted:
+        return None
+    sides = sorted({(name, kind) for name, kind, _ in wanted})
+    shown = [(_as_text(df, name) if kind == "value" else form(F.col(f"`{name}`"))).alias(f"c{i}") for i, (name, kind) in enumerate(sides)]
+    rows = df.where(F.col(f"`{load}`").isNotNull()).select(F.col(f"`{load}`").alias("load"), *shown)
+    at = {side: i for i, side in enumerate(sides)}
+    counts = [F.count_if(F.col(f"c{at[name, kind]}") == F.lit(item)).alias(f"n{j}") for j, (name, kind, item) in enumerate(wanted)]
+    cells = F.array(*[F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("kind"), F.lit(item).alias("item"), F.col(f"n{j}").alias("n")) for j, (name, kind, item) in enumerate(wanted)])
+    return rows.groupBy("load").agg(*counts).select("load", F.inline(cells)).where("n > 0")
+
+
+def _joined_counts(df: DataFrame, load: str, names: list[str], wanted: DataFrame) -> DataFrame:
+    """The same by a join with the items, for many loads with items of their own."""
+    cells = []
+    for name in names:
+        cells.append(F.struct(F.lit(name).alias("column_name"), F.lit("value").alias("kind"), _as_text(df, name).alias("item")))
+        if isinstance(df.schema[name].dataType, T.StringType):
+            cells.append(F.struct(F.lit(name).alias("column_name"), F.lit("form").alias("kind"), form(F.col(f"`{name}`")).alias("item")))
+    rows = df.where(F.col(f"`{load}`").isNotNull()).select(F.col(f"`{load}`").alias("load"), F.inline(F.array(*cells))).where("item is not null")
+    return rows.join(F.broadcast(wanted), ["column_name", "kind", "item"]).groupBy("load", "column_name", "kind", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
 def departures(df: DataFrame, load: str, ignore: Iterable[str] = (), checks: Iterable[Check] = DRIFT) -> DataFrame:
     """:func:`drift` of a table, through a state of sketches and exact counts of what may reach a limit."""
     left_out, checks = set(ignore), list(checks)

@@ -190,7 +190,9 @@ def test_profile_departures(spark):
     assert a == sorted(map(str, profile.state(df, "day").collect()))
 
 
-def test_merged_sketches_give_the_same_tests(spark):
+@pytest.mark.parametrize("compiled", [500, 0])
+def test_merged_sketches_give_the_same_tests(spark, monkeypatch, compiled):
+    monkeypatch.setattr(profile, "COMPILED", compiled)
     rnd = random.Random(6)
     rows = [(day, rnd.choice(["aa", "b1", None, f"x{rnd.randrange(10**6)}"]), rnd.choice([None, float("nan"), 0.0, -2.0, rnd.gauss(0, 10**day)]), i) for day in range(1, 5) for i in range(400)]
     df = spark.createDataFrame(rows, "day int, code string, size double, item int")
