@@ -232,6 +232,13 @@ def test_medians_against_sorting(spark):
 def test_form(spark):
     df = spark.createDataFrame([("VAL-01 über Straße_2x",)], "t string")
     assert df.select(profile.form(F.col("t"))).first()[0] == "A-9 a Aa_9a"
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("Ab9é٣ª-.[\\ \n|Ⅷ") for _ in range(rnd.randrange(7))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", profile.form(F.col("t")).alias("f"))
+    forms = {r["f"] for r in df.collect()}
+    for item in sorted(forms)[:40]:
+        same = F.col("t").rlike(profile.form_pattern(item))
+        assert df.where(same != (F.col("f") == F.lit(item))).count() == 0, item
 
 
 @pytest.mark.parametrize(
