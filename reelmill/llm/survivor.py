@@ -125,10 +125,11 @@ def survivors(df: DataFrame, key: str, record: str, time: str, bundles: Iterable
             bound = bound + F.when(F.col("root") == root, _trust(F.col(f"top{at[on]}"))).otherwise(F.lit(0))
     kept_tops = [f"top{at[on]}" for on in sorted(determined)]
     incumbents = evaluated(first.select("k", "root", F.col("first.x").alias("x"), F.col("first.t").alias("t"), *kept_tops))
-    # level 1: branches whose bound reaches the incumbent stay open
-    open_ones = branches.where("t is not null").join(incumbents.select("k", "root", F.col("value").alias("least"), F.col("x").alias("first"), *kept_tops), ["k", "root"])
+    # level 1: branches whose bound reaches the incumbent stay open; a root that determines nothing has no other branch
+    searched = [r for r, on in dependents.items() if on]
+    open_ones = branches.where(F.col("root").isin(searched) & F.col("t").isNotNull()).join(incumbents.select("k", "root", F.col("value").alias("least"), F.col("x").alias("first"), *kept_tops), ["k", "root"])
     open_ones = open_ones.where((bound >= F.col("least")) & ~F.col("x").eqNullSafe(F.col("first")))
-    nodes = incumbents.unionByName(evaluated(open_ones.select("k", "root", "x", "t", *kept_tops)))
+    nodes = incumbents.unionByName(evaluated(open_ones.select("k", "root", "x", "t", *kept_tops))) if searched else incumbents
     choices = [f"on{at[on]}" for on in sorted(determined)]
     best = nodes.groupBy("k", "root").agg(F.max(F.struct("value", "t", *choices)).alias("b")).select("k", "root", "b.*")
     chosen = [F.struct(F.col("root").alias("bundle"), F.col("t").alias("c"))]
