@@ -10,9 +10,11 @@ before it left, and every change is appended to a journal array that travels wit
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,10 @@ Tables = dict[str, DataFrame]
 SCANS = 8
 
 
-def _gathered(parts: Sequence[DataFrame], schema: str) -> DataFrame:
-    """The rows of all parts, a few per control, taken by concurrent jobs: one plan of them all would be planned as a whole."""
-    spark = parts[0].sparkSession
+def _gathered(spark: SparkSession, makers: Sequence[Callable[[], DataFrame]], schema: str) -> DataFrame:
+    """The rows of all parts, a few per control, made, planned and run by concurrent jobs: one plan of them all would be planned as a whole."""
     with ThreadPoolExecutor(SCANS) as pool:
-        rows = [tuple(r) for part in pool.map(lambda df: df.collect(), parts) for r in part]
+        rows = [tuple(r) for part in pool.map(lambda make: make().collect(), makers) for r in part]
     return spark.createDataFrame(rows, schema)
 
 
@@ -68,21 +69,22 @@ def _local(controls: Iterable[Control]) -> dict[str, list[tuple[Control, Branch]
 
 def results(tables: Tables, controls: Sequence[Control]) -> DataFrame:
     """``(control_id, checked_rows, anomaly_rows, anomaly_rate, passed)`` of every control; tables that are absent have no rows."""
-    parts = []
-    for table, held in _local(controls).items():
-        if table not in tables:
-            continue
-        counts = [F.expr(f"count_if(coalesce({b.population}, false))").alias(f"p{i}") for i, (_, b) in enumerate(held)]
-        counts += [F.expr(f"count_if(coalesce(({b.population}) and ({b.anomaly}), false))").alias(f"a{i}") for i, (_, b) in enumerate(held)]
-        rows = F.array(*[F.struct(F.lit(c.control_id).alias("control_id"), F.col(f"p{i}").alias("checked"), F.col(f"a{i}").alias("found")) for i, (c, _) in enumerate(held)])
-        parts.append(tables[table].agg(*counts).select(F.inline(rows)))
     none = F.lit(0).cast("bigint")
-    for c in controls:
-        if c.relational is not None:
-            population, found = c.relational(tables)
-            parts.append(population.select(F.lit(c.control_id).alias("control_id"), F.col("population").cast("bigint").alias("checked"), none.alias("found")))
-            parts.append(found.agg(F.count(F.lit(1)).alias("found")).select(F.lit(c.control_id).alias("control_id"), none.alias("checked"), "found"))
-    measured = _gathered(parts, "control_id string, checked bigint, found bigint")
+
+    def local(table: str, held: list[tuple[Control, Branch]]) -> DataFrame:
+        counts = [f"count_if(coalesce({b.population}, false)) as p{i}" for i, (_, b) in enumerate(held)]
+        counts += [f"count_if(coalesce(({b.population}) and ({b.anomaly}), false)) as a{i}" for i, (_, b) in enumerate(held)]
+        rows = ", ".join(f"struct('{c.control_id}' as control_id, p{i} as checked, a{i} as found)" for i, (c, _) in enumerate(held))
+        return tables[table].selectExpr(*counts).selectExpr(f"inline(array({rows}))")
+
+    def related(c: Control) -> DataFrame:
+        population, found = c.relational(tables)
+        name = F.lit(c.control_id).alias("control_id")
+        return population.select(name, F.col("population").cast("bigint").alias("checked"), none.alias("found")).union(found.agg(F.count(F.lit(1)).alias("found")).select(name, none.alias("checked"), "found"))
+
+    makers = [partial(local, table, held) for table, held in _local(controls).items() if table in tables]
+    makers += [partial(related, c) for c in controls if c.relational is not None]
+    measured = _gathered(next(iter(tables.values())).sparkSession, makers, "control_id string, checked bigint, found bigint")
     spark = next(iter(tables.values())).sparkSession
     limits = spark.createDataFrame([(c.control_id, float(c.threshold)) for c in controls], "control_id string, threshold double")
     sums = measured.groupBy("control_id").agg(F.sum("checked").alias("checked_rows"), F.sum("found").alias("anomaly_rows"))
@@ -170,14 +172,30 @@ def open_journal(df: DataFrame) -> DataFrame:
     return df if "__journal" in df.columns else df.withColumn("__journal", F.array().cast(_ENTRY))
 
 
+def _steps(fixes: Iterable[Fix]) -> list[list[Fix]]:
+    """Runs of fixes that may be made at once: none reads or changes a column another one of its run changes."""
+    steps: list[list[Fix]] = []
+    changed: set[str] = set()
+    for f in fixes:
+        if not steps or f.column in changed or changed & set(re.findall(r"\w+", f"{f.value} {f.when}")):
+            steps.append([])
+            changed = set()
+        steps[-1].append(f)
+        changed.add(f.column)
+    return steps
+
+
 def fix(df: DataFrame, fixes: Iterable[Fix]) -> DataFrame:
-    """Apply the fixes in order; the journal travels in ``__journal``."""
+    """Apply the fixes in order; the journal travels in ``__journal``. Fixes that don't touch each other share a projection."""
     df = open_journal(df)
-    for f in fixes:
-        new = F.expr(f.value).cast(df.schema[f.column].dataType)
-        hit = F.coalesce(F.expr(f.when), F.lit(False))
-        entry = F.array(F.struct(F.lit(f.control_id).alias("control_id"), F.lit(f.column).alias("column_name"), F.lit(f.action).alias("action"), _text(df, f.column, F.col(f.column)).alias("old_value"), _text(df, f.column, new).alias("new_value"))).cast(_ENTRY)
-        df = df.withColumns({"__journal": F.when(hit, F.concat("__journal", entry)).otherwise(F.col("__journal")), f.column: F.when(hit, new).otherwise(F.col(f.column))})
+    for step in _steps(fixes):
+        entries, columns = [], {}
+        for f in step:
+            new = F.expr(f.value).cast(df.schema[f.column].dataType)
+            hit = F.expr(f"coalesce({f.when}, false)")
+            entries.append(F.when(hit, F.struct(F.lit(f.control_id).alias("control_id"), F.lit(f.column).alias("column_name"), F.lit(f.action).alias("action"), _text(df, f.column, F.col(f.column)).alias("old_value"), _text(df, f.column, new).alias("new_value"))))
+            columns[f.column] = F.when(hit, new).otherwise(F.col(f.column))
+        df = df.withColumns({"__journal": F.concat("__journal", F.array_compact(F.array(*entries)).cast(_ENTRY)), **columns})
     return df
 
 
@@ -215,33 +233,29 @@ class Constraint:
 
 def violations(tables: Tables, constraints: Sequence[Constraint]) -> DataFrame:
     """``(name, kind, table_name, violations)`` of every constraint; row-local ones of a table share one scan."""
-    parts: list[DataFrame] = []
-    add = parts.append
-    local: dict[str, list[tuple[Constraint, Column]]] = {}
+    local: dict[str, list[tuple[Constraint, str]]] = {}
     for c in constraints:
         if c.kind == "not null":
-            local.setdefault(c.table, []).append((c, F.count_if(F.col(c.columns[0]).isNull())))
+            local.setdefault(c.table, []).append((c, f"count_if({c.columns[0]} is null)"))
         elif c.kind == "check":
-            local.setdefault(c.table, []).append((c, F.count_if(~F.coalesce(F.expr(c.predicate), F.lit(True)))))
-    for table, held in local.items():
+            local.setdefault(c.table, []).append((c, f"count_if(not coalesce({c.predicate}, true))"))
+
+    def in_one_scan(table: str, held: list[tuple[Constraint, str]]) -> DataFrame:
+        numbers = tables[table].selectExpr(*[f"{x} as n{i}" for i, (_, x) in enumerate(held)])
         rows = F.array(*[F.struct(F.lit(c.name).alias("name"), F.lit(c.kind).alias("kind"), F.lit(table).alias("table_name"), F.col(f"n{i}").alias("violations")) for i, (c, _) in enumerate(held)])
-        add(tables[table].agg(*[x.alias(f"n{i}") for i, (_, x) in enumerate(held)]).select(F.inline(rows)))
-    for c in constraints:
+        return numbers.select(F.inline(rows))
+
+    def of_keys(c: Constraint) -> DataFrame:
         df = tables[c.table]
-        label = [F.lit(c.name).alias("name"), F.lit(c.kind).alias("kind"), F.lit(c.table).alias("table_name")]
-        if c.kind in ("primary key", "unique", "unique group"):
-            null_key = F.lit(False)
-            for k in c.columns:
-                null_key = null_key | F.col(k).isNull()
-            groups = df.groupBy(*c.columns).agg(F.count(F.lit(1)).alias("__n"))
-            bad = F.col("__n") > 1
-            if c.kind == "primary key":
-                bad = bad | null_key
-            elif c.kind == "unique":
-                bad = bad & ~null_key
-            add(groups.agg(F.count_if(bad).alias("violations")).select(*label, "violations"))
-        elif c.kind == "foreign key":
+        if c.kind == "foreign key":
             parent = tables[c.parent].select(F.col(c.parent_key).alias("__p")).distinct()
-            orphans = df.where(F.col(c.columns[0]).isNotNull()).join(parent, F.col(c.columns[0]) == F.col("__p"), "left_anti")
-            add(orphans.agg(F.count(F.lit(1)).alias("violations")).select(*label, "violations"))
-    return _gathered(parts, "name string, kind string, table_name string, violations bigint")
+            bad = df.where(F.col(c.columns[0]).isNotNull()).join(parent, F.col(c.columns[0]) == F.col("__p"), "left_anti").agg(F.count(F.lit(1)).alias("violations"))
+        else:
+            null_key = " or ".join(f"{k} is null" for k in c.columns)
+            broken = {"primary key": f"__n > 1 or {null_key}", "unique": f"__n > 1 and not ({null_key})", "unique group": "__n > 1"}[c.kind]
+            bad = df.groupBy(*c.columns).agg(F.count(F.lit(1)).alias("__n")).selectExpr(f"count_if({broken}) as violations")
+        return bad.select(F.lit(c.name).alias("name"), F.lit(c.kind).alias("kind"), F.lit(c.table).alias("table_name"), "violations")
+
+    makers = [partial(in_one_scan, table, held) for table, held in local.items()]
+    makers += [partial(of_keys, c) for c in constraints if c.kind not in ("not null", "check")]
+    return _gathered(next(iter(tables.values())).sparkSession, makers, "name string, kind string, table_name string, violations bigint")

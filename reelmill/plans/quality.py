@@ -52,9 +52,9 @@ def _of_column(c: str, anomaly: str) -> tuple[str, str]:
 def _counts(*parts: DataFrame) -> DataFrame:
     out = None
     for p in parts:
-        one = p.agg(F.count(F.lit(1)).alias("population"))
-        out = one if out is None else out.unionByName(one)
-    return out.agg(F.sum("population").alias("population"))
+        one = p.selectExpr("count(1) as population")
+        out = one if out is None else out.union(one)
+    return out if len(parts) == 1 else out.selectExpr("sum(population) as population")
 
 
 def _without(link: str, where: str = "true"):
