@@ -13,7 +13,8 @@ from reelmill.operators import metrics as M
 from reelmill.operators import rejects
 from reelmill.plans import catalogue, mart, views
 from reelmill.queries.problems import _LINES, table
-from reelmill.session import scratch_table, work_dir
+from reelmill.session import scratch_dir, scratch_table
+from reelmill.streaming import landing
 
 AS_OF = date(2026, 9, 20)
 
@@ -166,15 +167,14 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of the events read as a stream, worked off to its end; the same rows as a batch gives."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_as_directory(spark, sf_dir, "events"))
-    timed = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    target = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/result")
-
-    timed.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{target}/result")
-    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    closed = landing.tumbling_counts(events)
+    target = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # windows are written when the watermark has passed them; one that is still open at the end is counted from its own rows
+    closed.writeStream.outputMode("append").format("parquet").option("path", f"{target}/result").option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(closed.schema).parquet(f"{target}/result")
+    rest = landing.tumbling_counts(table(spark, sf_dir, "events")).join(done.select("start", "event_type"), ["start", "event_type"], "left_anti")
+    out = done.unionByName(rest.select(done.columns))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def _as_directory(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -183,7 +183,7 @@ def _as_directory(spark: SparkSession, sf_dir: str, name: str) -> str:
 
     if os.path.isdir(f"{sf_dir}/{name}.parquet"):
         return f"{sf_dir}/{name}.parquet"
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     table(spark, sf_dir, name).write.parquet(path)
     return path
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from datetime import datetime, timezone
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelmill import schemas
+from reelmill.operators.relational import leading
+from reelmill.sources.files import Files
 from reelmill.sources.lake import write_manifest
 
 
@@ -31,18 +34,20 @@ def land(stream: DataFrame, base: str, checkpoint: str, source: str, dataset: st
     def write(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
+        files = Files(batch.sparkSession)
         day = datetime.now(timezone.utc).date().isoformat()
         directory = os.path.join(base, source, dataset, f"ingest_date={day}")
         target = os.path.join(directory, f"batch={number:09d}")
         columns = [c for c in batch.columns if not c.startswith("log_")]
         batch.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").option("compression", "gzip").text(target)
         # counted from what was written: an observation would have to run the batch's source again
-        rows = batch.sparkSession.read.text(target).count()
+        held = batch.sparkSession.read.text(target).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("value"))).first()
+        rows = held[0]
         offsets = []
         if "log_offset" in batch.columns:
             offsets = [r.asDict() for r in batch.groupBy("log_partition").agg(F.min("log_offset").alias("first"), F.max("log_offset").alias("last")).collect()]
-        size = sum(os.path.getsize(os.path.join(target, n)) for n in os.listdir(target) if n.startswith("part-"))
-        write_manifest(directory, f"batch-{number:09d}", {"source": source, "dataset": dataset, "batch": number, "rows": rows, "size_bytes": size, "offsets": offsets, "written_at": datetime.now(timezone.utc).isoformat()})
+        size = sum(files.size(f"{target}/{n}") for n in files.names(target) if n.startswith("part-"))
+        write_manifest(directory, f"batch-{number:09d}", {"source": source, "dataset": dataset, "batch": number, "rows": rows, "checksum": held[1], "size_bytes": size, "offsets": offsets, "written_at": datetime.now(timezone.utc).isoformat()})
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
@@ -51,27 +56,20 @@ def land(stream: DataFrame, base: str, checkpoint: str, source: str, dataset: st
 
 def upsert_latest(stream: DataFrame, target: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
     """Keep the latest row per key of a stream in a Parquet table, merged per micro-batch with versions and a pointer."""
-    import json
-
-    from reelmill.operators.relational import leading
-
-    def pointer() -> str:
-        return os.path.join(target, "current.json")
+    pointer = f"{target}/current.json"
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if os.path.exists(pointer()):
-            with open(pointer()) as f:
-                held = json.load(f)
+        spark, files = batch.sparkSession, Files(batch.sparkSession)
+        rows, held = batch, json.loads(files.read(pointer) or "null")
+        if held is not None:
             if held["batch"] >= number:
                 return  # this batch is in already
-            rows = batch.unionByName(spark.read.parquet(os.path.join(target, held["version"])))
+            rows = batch.unionByName(spark.read.parquet(f"{target}/{held['version']}"))
         version = f"v{number:09d}"
-        leading(rows, [key], [F.col(order).desc_nulls_last(), F.xxhash64(*rows.columns)]).write.mode("overwrite").parquet(os.path.join(target, version))
-        with open(pointer() + ".tmp", "w") as f:
-            json.dump({"version": version, "batch": number}, f)
-        os.replace(pointer() + ".tmp", pointer())
+        leading(rows, [key], [F.col(order).desc_nulls_last(), F.xxhash64(*rows.columns)]).write.mode("overwrite").parquet(f"{target}/{version}")
+        files.replace(pointer, json.dumps({"version": version, "batch": number}))
+        if held is not None:
+            files.delete(f"{target}/{held['version']}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -85,6 +83,12 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def stop(query: StreamingQuery) -> None:
+    """End a query once what its source holds by now is landed, so that no open batch is lost."""
+    query.processAllAvailable()
+    query.stop()
+
+
 def lag(query: StreamingQuery) -> int | None:
     """Messages the source holds beyond what the query has read, where the source reports offsets."""
     progress = query.lastProgress
