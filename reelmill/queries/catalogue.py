@@ -71,6 +71,15 @@ def mart_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.row_counts(_mart(spark, sf_dir))
 
 
+def mart_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mart after two loads of the snapshot: every table merged, links and orphans purged, versions swapped."""
+    store = mart.MartStore(spark, f"{scratch_dir(spark)}/mart-{uuid.uuid4().hex}")
+    films = scratch_table(_films(spark, sf_dir), "films")
+    for _ in range(2):
+        mart.load(spark, films, store)
+    return views.row_counts(store.read())
+
+
 def mart_genre_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.genre_stats(_mart(spark, sf_dir))
 
@@ -188,7 +197,7 @@ def _as_directory(spark: SparkSession, sf_dir: str, name: str) -> str:
     return path
 
 
-QUERIES = {f.__name__: f for f in (snapshot_films, film_matches, mart_people, mart_credits, message_counts, mart_counts, mart_genre_stats, mart_top_people, mart_yearly, mart_cardinalities, dq_results, dq_clean_journal, dq_verdict_priority, constraint_check, metric_latest, metric_increase, stream_tumbling)}
+QUERIES = {f.__name__: f for f in (snapshot_films, film_matches, mart_people, mart_credits, message_counts, mart_counts, mart_reload, mart_genre_stats, mart_top_people, mart_yearly, mart_cardinalities, dq_results, dq_clean_journal, dq_verdict_priority, constraint_check, metric_latest, metric_increase, stream_tumbling)}
 
 _USABLE = "payload.id IS NOT NULL AND trim(coalesce(payload.title, '')) <> ''"
 # films as the pipeline keeps them, but for the choice between equal moments
@@ -264,6 +273,8 @@ _CARDINALITY = {"movie_genres": "l_genres", "movie_production_companies": "l_pro
 
 SQL |= {
     "mart_counts": _BASE + " " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, ({q}) AS n_rows" for t, q in _COUNTS.items()),
+    # what no film refers to is dropped: all references of the snapshot are referred to
+    "mart_reload": _BASE + " " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, ({q}) AS n_rows" for t, q in _COUNTS.items()),
     "mart_yearly": _BASE + " SELECT CAST(year(released) AS INTEGER) AS release_year, count(*) AS movies, CAST(round(CAST(avg(rating) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_tmdb_rating, CAST(round(CAST(avg(imdb_rating) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_imdb_rating, CAST(sum(revenue) AS BIGINT) AS total_revenue, CAST(sum(budget) AS BIGINT) AS total_budget FROM m WHERE released IS NOT NULL GROUP BY 1",
     "mart_genre_stats": _BASE + " SELECT label AS genre, count(*) AS movies, CAST(round(CAST(avg(rating) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_tmdb_rating, CAST(round(CAST(avg(imdb_rating) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_imdb_rating, CAST(round(CAST(avg(gap) AS DECIMAL(20,10)), 2) AS DOUBLE) AS avg_rating_gap, count(*) FILTER (WHERE matched) AS with_imdb FROM l_genres JOIN m ON movie_id = id JOIN r_genres USING (k) GROUP BY 1",
     "film_matches": _BASE + " SELECT CAST(id AS BIGINT) AS id, CAST(imdb_rating AS DOUBLE) AS imdb_rating, imdb_votes, matched AS has_imdb_match, CAST(gap AS DOUBLE) AS rating_gap, CAST(CAST(round(payload.vote_count / nullif(imdb_votes, 0)::DOUBLE, 4) AS DECIMAL(10,4)) AS DOUBLE) AS votes_ratio FROM m",
