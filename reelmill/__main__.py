@@ -16,8 +16,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from reelmill.operators import controls as C
-from reelmill.plans import catalogue, mart, quality, views
-from reelmill.plans.audit import LoadRun, Skip, pipeline_lock
+from reelmill.plans import catalogue, mart, quality, reports, views
+from reelmill.plans.audit import LoadRun, Skip, current_run, pipeline_lock
 from reelmill.session import build_session
 from reelmill.sources import lake
 
@@ -32,6 +32,7 @@ class Paths:
         self.snapshots = os.path.join(root, "aggregated/movies")
         self.mart, self.staged, self.curated = (os.path.join(root, "mart", x) for x in ("live", "staged", "curated"))
         self.runs, self.results, self.journal = (os.path.join(root, "audit", x) for x in ("load_runs", "results", "corrections"))
+        self.matrix, self.evidence, self.summaries = (os.path.join(root, "audit", x) for x in ("controls", "anomalies", "runs"))
         self.lock = os.path.join(root, "audit", "pipeline.lock")
 
 
@@ -77,11 +78,18 @@ def audit(spark: SparkSession, paths: Paths, run: LoadRun) -> None:
     after = C.results({**curated, **{f"staged:{k}": v for k, v in staged.items()}}, held)
     for phase, df in (("before", before), ("after", after)):
         df.select(F.lit(run.run_id).alias("run_id"), F.lit(phase).alias("phase"), "*", F.current_timestamp().alias("executed_at")).coalesce(1).write.mode("append").parquet(paths.results)
-    journal.select(F.lit(run.run_id).alias("run_id"), "*").write.mode("overwrite").parquet(paths.journal)
+    number = current_run(run)
+    journal.select(F.lit(number).alias("run_id"), "*").write.mode("overwrite").parquet(paths.journal)
+    C.matrix(spark, held).coalesce(1).write.mode("overwrite").parquet(paths.matrix)
+    phases = (("before", with_load), ("after", {**curated, **{f"staged:{k}": v for k, v in staged.items()}}))
+    for mode, (phase, tables) in zip(("overwrite", "append"), phases):
+        C.anomalies(tables, held, quality.KEYS).select(F.lit(number).alias("run_id"), F.lit(phase).alias("phase"), "*").write.mode(mode).parquet(paths.evidence)
+    totals = reports.run_summary(live, curated, C.verdicts(before, after, held), journal)
+    totals.select(F.lit(number).alias("run_id"), F.lit(run.started).alias("started_at"), "*").coalesce(1).write.mode("append").parquet(paths.summaries)
 
 
 def report(spark: SparkSession, paths: Paths, target: str) -> None:
-    """Export the last audit as CSV files."""
+    """Export the last audit, the catalogue and the profile of the mart as CSV files, and print the verdicts."""
     results = spark.read.parquet(paths.results)
     last = results.orderBy(F.col("executed_at").desc()).first()["run_id"]
     results = results.where(F.col("run_id") == last)
@@ -89,18 +97,41 @@ def report(spark: SparkSession, paths: Paths, target: str) -> None:
     dimension = spark.createDataFrame([(c.control_id, c.dimension) for c in held], "control_id string, dimension string")
     before, after = (results.where(F.col("phase") == p).drop("run_id", "phase", "executed_at") for p in ("before", "after"))
     live, curated = mart.MartStore(spark, paths.mart).read(), mart.MartStore(spark, paths.curated).read()
+    judged, scores = C.verdicts(before, after, held), C.dimension_scores(results.join(dimension, "control_id"))
     exports = {
-        "before_after": C.verdicts(before, after, held),
-        "dimension_scores": C.dimension_scores(results.join(dimension, "control_id")),
+        "run": spark.read.parquet(paths.summaries).where(F.col("run_id") == last),
+        "controls": spark.read.parquet(paths.matrix),
+        "before_after": judged,
+        "verdicts": reports.verdict_counts(judged),
+        "ranked_anomalies": reports.ranked_anomalies(judged),
+        "dimension_scores": scores,
+        "score_comparison": reports.score_comparison(scores),
+        "tables": reports.table_counts(live, curated),
+        "columns": views.columns_of(live, "mart"),
+        "constraints": reports.constraint_catalogue(spark, quality.target_constraints(today())),
+        "code_coverage": reports.code_coverage(live),
+        "match_coverage": reports.match_coverage(live),
+        "fill_movies": reports.fill_profile(live["movies"]),
+        "fill_people": reports.fill_profile(live["people"]),
+        "status": reports.status_counts(live, today().isoformat()),
+        "numbers": reports.numeric_profile(live),
+        "smallest_money": reports.smallest_money(live),
+        "vote_buckets": reports.vote_buckets(live),
+        "languages": reports.top_languages(live),
+        "genders": reports.gender_share(live),
+        "departments": reports.department_counts(live),
+        "malformed_texts": reports.malformed_texts(live),
         "corrections": views.corrections_summary(spark.read.parquet(paths.journal)),
         "volumes": views.volumes(live, curated),
         "kpi_impact": views.kpi_impact(live, curated),
         "genre_impact": views.genre_impact(live, curated),
-        "examples": views.examples(C.anomalies(live, held, quality.KEYS)),
+        "examples": views.examples(spark.read.parquet(paths.evidence).where("phase = 'before'")),
         "cardinalities": views.cardinalities(live),
     }
     for name, df in exports.items():
         df.coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(target, name))
+    for r in reports.verdict_counts(judged).orderBy("verdict").collect():
+        print(f"{r['verdict']}: {r['controls']} controls, {r['anomalies_before']} anomalies before, {r['anomalies_after']} after")
 
 
 JOBS = {"aggregate": aggregate, "load": load, "quality": audit}

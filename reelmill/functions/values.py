@@ -43,3 +43,13 @@ def amount_or_null(number: Column, least: int) -> Column:
 def capitals(text: Column, length: int = 2) -> Column:
     """A code of ``length`` capitals; null where blank."""
     return F.nullif(F.substring(F.upper(F.trim(text)), 1, length), F.lit(""))
+
+
+def quoted_literal(text: Column) -> Column:
+    """A text as an SQL literal; null stays null."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def quoted_identifier(name: Column) -> Column:
+    """A name as an SQL identifier, quoted only where it must be."""
+    return F.when(name.rlike(r"^[a-z_][a-z0-9_]*\z"), name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))

@@ -51,6 +51,17 @@ class LoadRun:
         return status == "skipped"
 
 
+class NoOpenRun(RuntimeError):
+    """Raised where something is to be recorded outside a run."""
+
+
+def current_run(run: LoadRun | None) -> str:
+    """The number of the run in whose scope the caller works."""
+    if run is None or not hasattr(run, "run_id"):
+        raise NoOpenRun("no run is open")
+    return run.run_id
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     if not os.path.isdir(path):
         return spark.createDataFrame([], RUNS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.values import amount_or_null, blank_to_null, capitals
+from reelmill.functions.values import amount_or_null, blank_to_null, capitals, quoted_identifier, quoted_literal
 from reelmill.operators import relational as R
 from reelmill.queries.problems import table
 
@@ -395,3 +395,8 @@ def top_languages(movies):
 @query("movies", sql="SELECT split_part(poster_path, '.', 2) AS kind, count(*) AS n, sum(CASE WHEN left(poster_path, 1) = '/' THEN 1 ELSE 0 END)::BIGINT AS n_rooted FROM movies WHERE poster_path IS NOT NULL GROUP BY 1")
 def split_part_left(movies):
     return movies.where("poster_path is not null").groupBy(F.split_part("poster_path", F.lit("."), F.lit(2)).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("left(poster_path, 1) = '/'")).alias("n_rooted"))
+
+
+@query("genres", sql="""SELECT id, '''' || replace(name, '''', '''''') || '''' AS literal, CASE WHEN regexp_full_match(lower(name), '[a-z_][a-z0-9_]*') THEN lower(name) ELSE '"' || replace(lower(name), '"', '""') || '"' END AS identifier FROM genres""")
+def quoted_names(genres):
+    return genres.select("id", quoted_literal(F.col("name")).alias("literal"), quoted_identifier(F.lower("name")).alias("identifier"))

@@ -13,7 +13,7 @@ from reelmill import schemas
 from reelmill.operators import controls as C
 from reelmill.operators import metrics as M
 from reelmill.plans import catalogue, mart, quality, views
-from reelmill.plans.audit import LoadRun, Skip, pipeline_lock, read_runs
+from reelmill.plans.audit import LoadRun, NoOpenRun, Skip, current_run, pipeline_lock, read_runs
 from reelmill.sources import lake
 from reelmill.streaming import landing
 
@@ -99,6 +99,17 @@ def test_jobs_end_to_end(spark, root):
     assert [r["name"] for r in views.movie_cast(live, 1).collect()] == ["Person 100", "Person 101"]
     assert [r["id"] for r in views.find_movies(live, "no v").collect()] == [3] and views.find_movies(live, "%").count() == 0
     assert views.rating_gap_top(live, 1, 1).count() == 1 and views.list_movies(live).count() == 3
+    for name, n in (("controls", 49), ("run", 1), ("tables", 13), ("fill_movies", 31), ("numbers", 7)):
+        assert spark.read.option("header", True).csv(str(root / "report" / name)).count() == n
+    store = mart.MartStore(spark, paths.mart)
+    one = lake.read_snapshot(spark, paths.snapshots).where("id = 1")
+    mart.upsert_film(spark, one, store)
+    assert {r["table_name"]: r["n_rows"] for r in views.row_counts(store.read()).collect()} == counts
+    with pytest.raises(ValueError):
+        mart.upsert_film(spark, one.where("false"), store)
+    with pytest.raises(NoOpenRun):
+        current_run(None)
+    live = store.read()
     assert views.cardinalities(live).count() == 6 and views.kpi_impact(live, live).where("delta <> 0").count() == 0
 
 
