@@ -29,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelmill.session import scratch_table
+
 #: Trust (seconds) of a record without a time: before any time.
 NEVER = -(10**11)
 
@@ -85,27 +87,26 @@ def survivors(df: DataFrame, key: str, record: str, time: str, bundles: Iterable
     dependents = {b.name: [d.on for d in dependencies if d.of == b.name] for b in bundles if b.name not in determined}
     rows = _candidates(df, key, record, time, bundles, with_values or bool(dependencies))
     value = lambda name: F.to_json(F.col(f"c{at[name]}")["v"])
-    cell = rows.schema["c0"].dataType
 
     # level 0: branches of every root; a root that determines nothing has one per group
     cells = [F.struct(F.lit(r).alias("root"), (value(r) if on else F.lit("")).alias("x"), F.col(f"c{at[r]}").alias("t")) for r, on in dependents.items()]
     branches = rows.select("k", F.inline(F.array(*cells))).groupBy("k", "root", "x").agg(F.max("t").alias("t"), F.count(F.lit(1)).alias("n"))
-    # bounds: what each dependent bundle can give at most
-    tops = None
-    for on in sorted(determined):
-        one = rows.where(F.col(f"c{at[on]}").isNotNull()).groupBy("k").agg(F.max(f"c{at[on]}").alias(f"top{at[on]}"))
-        tops = one if tops is None else tops.join(one, "k", "full")
+    if dependencies:
+        branches = scratch_table(branches, "branches")  # read for the incumbents and again for the open ones
     first = branches.groupBy("k", "root").agg(F.max(F.struct("t", "x")).alias("first"), F.sum("n").alias("n_rows"))
     if least_rows > 1:
         first = first.where(F.col("n_rows") >= least_rows)
-    if tops is not None:
-        first = first.join(tops, "k", "left")
 
     worth, pairs = {}, {}
     for d in dependencies:
         y, both = value(d.on), F.col(f"c{at[d.of]}").isNotNull() & F.col(f"c{at[d.on]}").isNotNull()
         worth[d.on] = rows.where(F.col(f"c{at[d.on]}").isNotNull()).groupBy("k", y.alias("y")).agg(F.max(f"c{at[d.on]}").alias("w"))
-        pairs[d.on] = rows.where(both).select("k", value(d.of).alias("x"), y.alias("y")).distinct()
+        worth[d.on] = scratch_table(worth[d.on], "worth")
+        pairs[d.on] = scratch_table(rows.where(both).select("k", value(d.of).alias("x"), y.alias("y")).distinct(), "pairs")
+
+    # bounds: what each dependent bundle can give at most
+    for on in sorted(determined):
+        first = first.join(worth[on].groupBy("k").agg(F.max("w").alias(f"top{at[on]}")), "k", "left")
 
     def evaluated(nodes: DataFrame) -> DataFrame:
         """``nodes`` (k, root, x, t, top...) with the best choice of every dependent bundle and the branch's value."""
@@ -125,6 +126,8 @@ def survivors(df: DataFrame, key: str, record: str, time: str, bundles: Iterable
             bound = bound + F.when(F.col("root") == root, _trust(F.col(f"top{at[on]}"))).otherwise(F.lit(0))
     kept_tops = [f"top{at[on]}" for on in sorted(determined)]
     incumbents = evaluated(first.select("k", "root", F.col("first.x").alias("x"), F.col("first.t").alias("t"), *kept_tops))
+    if dependencies:
+        incumbents = scratch_table(incumbents, "incumbents")
     # level 1: branches whose bound reaches the incumbent stay open; a root that determines nothing has no other branch
     searched = [r for r, on in dependents.items() if on]
     open_ones = branches.where(F.col("root").isin(searched) & F.col("t").isNotNull()).join(incumbents.select("k", "root", F.col("value").alias("least"), F.col("x").alias("first"), *kept_tops), ["k", "root"])
@@ -134,7 +137,7 @@ def survivors(df: DataFrame, key: str, record: str, time: str, bundles: Iterable
     best = nodes.groupBy("k", "root").agg(F.max(F.struct("value", "t", *choices)).alias("b")).select("k", "root", "b.*")
     chosen = [F.struct(F.col("root").alias("bundle"), F.col("t").alias("c"))]
     for root, held in dependents.items():
-        chosen += [F.struct(F.when(F.col("root") == root, F.lit(on)).alias("bundle"), F.col(f"on{at[on]}").cast(cell).alias("c")) for on in held]
+        chosen += [F.struct(F.when(F.col("root") == root, F.lit(on)).alias("bundle"), F.col(f"on{at[on]}").alias("c")) for on in held]
     out = best.select("k", F.inline(F.array(*chosen))).where("bundle is not null and c is not null")
     return out.select("k", "bundle", (-F.col("c.back")).alias("record"), *(["c.v"] if with_values else []))
 
